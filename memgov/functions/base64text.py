@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memgov.functions.text import WHITE
+
 RUN = r"[A-Za-z0-9+/=]{8,}"
 STRICT = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 # Printable or white space, as one class: no control, format or unassigned characters.
@@ -22,11 +24,11 @@ def decoded_text(text: Column) -> Column:
 
 
 def hard_signal(text: Column) -> Column:
-    return text.rlike("[=+/]")
+    return text.contains("=") | text.contains("+") | text.contains("/")
 
 
 def weak_signal(text: Column) -> Column:
-    return text.rlike("[a-z]") & text.rlike("[A-Z]") & text.rlike("[0-9]")
+    return text.rlike("[0-9]") & text.rlike("[A-Z]") & text.rlike("[a-z]")
 
 
 def looks_encoded(text: Column) -> Column:
@@ -34,13 +36,16 @@ def looks_encoded(text: Column) -> Column:
     return (F.length(text) >= 8) & (
         hard_signal(text)
         | weak_signal(text)
-        | F.coalesce((F.length(plain) > 0) & plain.rlike(READABLE), F.lit(False))
+        | F.coalesce(
+            F.when(F.length(text) % 4 == 0, (F.length(plain) > 0) & plain.rlike(READABLE)),
+            F.lit(False),
+        )
     )
 
 
 def fragment(text: Column) -> Column:
     """Base64 piece held by a field once separators are removed; null for prose and blanks."""
-    stripped = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    stripped = F.trim(text, F.lit(WHITE))
     pieces = F.regexp_extract_all(stripped, F.lit("([A-Za-z0-9+/=]+)"), 1)
     joined = F.array_join(pieces, "")
     separators = F.regexp_replace(stripped, "[A-Za-z0-9+/=]+", "")
@@ -49,6 +54,7 @@ def fragment(text: Column) -> Column:
     return (
         F.when(stripped == "", None)
         .when(stripped.rlike("^[A-Za-z0-9+/=]+$"), stripped)
+        .when(stripped.contains(" ") & long_piece, None)
         .when(stripped.rlike(r"(?U)[\s\x1c-\x1f]") & long_piece, None)
         .when(separators.rlike(r"[\p{L}\p{N}]") | (F.size(pieces) < 2), None)
         .when(spaced & ~looks_encoded(joined), None)

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f]"
-# Characters up to U+017F that NFKC leaves alone; any text made of them skips Python.
-NFKC_UNSURE = (
-    "[^\\x00-\\u009f\\u00a1-\\u00a7\\u00a9\\u00ab-\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb"
-    "\\u00bf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e]"
+# White space at the ends of a text, as one trim set.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# NFKC leaves texts alone whose characters end at U+017E, but for these.
+NFKC_PAST = "[^\\x00-\\u017e]"
+NFKC_ODD = (
+    "[\\u00a0\\u00a8\\u00aa\\u00af\\u00b2-\\u00b5\\u00b8-\\u00ba\\u00bc-\\u00be"
+    "\\u0132\\u0133\\u013f\\u0140\\u0149]"
 )
 NON_ASCII = r"[^\x00-\x7f]"
 # Zero-width marks, variation selectors and tag characters.
@@ -28,7 +34,12 @@ def is_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(WHITE))
+
+
+def nfkc_unsure(text: Column) -> Column:
+    """True where NFKC may change the text; plain texts are settled by one pass."""
+    return text.rlike(NON_ASCII) & (text.rlike(NFKC_PAST) | text.rlike(NFKC_ODD))
 
 
 @F.arrow_udf(T.StringType())
@@ -55,7 +66,7 @@ def casefold_text(texts: pa.Array) -> pa.Array:
 
 def composed(text: Column) -> Column:
     """NFKC; only rows with characters that may change are sent to Python."""
-    return F.coalesce(nfkc(F.when(text.rlike(NFKC_UNSURE), text)), text)
+    return F.coalesce(nfkc(F.when(nfkc_unsure(text), text)), text)
 
 
 _LISTS = T.StructType(
@@ -89,7 +100,7 @@ def canonical_lists(rows: pa.Array) -> pa.Array:
 
 
 def drop_invisible(text: Column) -> Column:
-    return F.when(text.rlike(NFKC_UNSURE), F.regexp_replace(text, INVISIBLE, "")).otherwise(text)
+    return F.when(text.rlike(NFKC_PAST), F.regexp_replace(text, INVISIBLE, "")).otherwise(text)
 
 
 def with_canonical_text(df, source: str, target: str, changes: str):
@@ -97,7 +108,10 @@ def with_canonical_text(df, source: str, target: str, changes: str):
     step = df.withColumn("_composed", composed(F.col(source)))
     flags = F.array_compact(
         F.array(
-            F.when(F.col("_composed").rlike(INVISIBLE), F.lit("invisible")),
+            F.when(
+                F.col("_composed").rlike(NFKC_PAST) & F.col("_composed").rlike(INVISIBLE),
+                F.lit("invisible"),
+            ),
             F.when(F.col("_composed") != F.col(source), F.lit("nfkc")),
         )
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memgov import fixed
-from memgov.functions.text import INVISIBLE, NFKC_UNSURE, with_canonical_text
+from memgov.functions.text import with_canonical_text
 
 UNITS = T.ArrayType(
     T.StructType(
@@ -93,6 +93,9 @@ def _unit(value, path):
 
 def _units_of(body: str, kind: str):
     value = json.loads(body)
+    if kind == "recalled_extras":
+        value = {k: v for k, v in value.items() if k not in ("id", "text")}
+        kind = "recalled_memory"
     if kind != "retain" or not isinstance(value, dict):
         return [_unit(value, kind)]
     rest = {k: v for k, v in value.items() if k != "items"}
@@ -116,6 +119,25 @@ def _walker(kind: str):
 walk_retain = _walker("retain")
 walk_recall = _walker("recall")
 walk_result = _walker("recalled_memory")
+walk_extras = _walker("recalled_extras")
+
+
+@F.arrow_udf(
+    T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
+)
+def json_entries(maps: pa.Array) -> pa.Array:
+    """Entries of a JSON object in document order, each value as JSON text; null otherwise."""
+
+    def one(text):
+        value = None if text is None else json.loads(text)
+        if not isinstance(value, dict):
+            return None
+        return [{"key": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in value.items()]
+
+    return pa.array(
+        [one(m) for m in maps.to_pylist()],
+        pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])),
+    )
 
 
 def with_units(df: DataFrame, body: str, kind: str, target: str = "units") -> DataFrame:
@@ -166,5 +188,3 @@ def walk_rows(df: DataFrame, keys: list[str], units: str = "units") -> DataFrame
         .select(*keys, "unit", "ord", "_f.path", "_f.text", "_f.is_key")
     )
 
-
-__all__ = ["INVISIBLE", "NFKC_UNSURE", "with_units", "with_text_unit", "with_field_units", "walk_rows"]
