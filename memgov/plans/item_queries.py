@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memgov.operators import quarantine, review, routing
 from memgov.plans import inputs
 from memgov.plans.catalog import query
+from memgov.plans.scan_queries import _DECIDE_SQL
 from memgov.streaming.gate import run_maintenance
 
 _AT = f"TIMESTAMP '{inputs.AT}'"
@@ -305,7 +306,7 @@ _JUDGE_SQL = f"""
 {inputs.ITEMS_SQL},
 asked AS (SELECT *, ({list(ACTIONS)})[(o_orderkey // 4) % {len(ACTIONS)} + 1] AS action, o_orderkey % 9 = 0 AS changed, {_PAST} AS past FROM items),
 judged AS (SELECT *, action IN ('postpone','reject_request','claim_memory','claim_retain_effect','claim_memory_effect','mark_allowed') AS opening,
-    status = 'review_in_progress' AND action IN ('postpone','reject_request','claim_memory','claim_retain_effect','claim_memory_effect') AS stale FROM asked),
+    {_STALE} AND action IN ('postpone','reject_request','claim_memory','claim_retain_effect','claim_memory_effect') AS stale FROM asked),
 coded AS (SELECT *, CASE
     WHEN action = 'effect_done' AND (status <> 'review_side_effect_started' OR changed) THEN 'quarantine_review_changed'
     WHEN action IN ('approve_retain', 'reject_memory') AND (status <> 'review_side_effect_completed' OR changed) THEN 'quarantine_review_changed'
@@ -390,9 +391,9 @@ def rejected_memories(spark, d):
 
 
 @query("approval_gate", f"""
-WITH {inputs.TURNS_SQL}, {inputs.WRITERS_SQL}, g AS (SELECT t.*, w.writer_id IS NOT NULL AS known,
-  regexp_matches(content, '(?i)developer$') AND context = 'message' AS unsafe FROM turns t LEFT JOIN writers w ON t.writer_id = w.writer_id)
-SELECT request_id, CASE WHEN NOT known THEN 'writer_not_registered' ELSE 'other' END AS outcome FROM g""")
+WITH {_DECIDE_SQL}
+SELECT request_id, CASE WHEN NOT known THEN 'writer_not_registered'
+  WHEN reason IS NOT NULL AND turn % 2 = 0 THEN 'quarantine_security_review_required' ELSE '-' END AS gate_code FROM decided""")
 def approval_gate(spark, d):
     from memgov.operators.policy import gate_approvals
 
@@ -400,8 +401,7 @@ def approval_gate(spark, d):
         {"reason": F.when(F.col("turn") % 2 == 0, "unknown_writer").otherwise("suspicious_content"), "ok": F.lit(True),
          "error_code": F.lit(None).cast("string"), "item_count": F.lit(1), "value_bytes": F.octet_length("body")})
     out = gate_approvals(asked, inputs.writers(spark, d))
-    return out.select("request_id", F.when(F.col("gate_code") == "writer_not_registered", "writer_not_registered")
-                      .otherwise("other").alias("outcome"))
+    return out.select("request_id", F.coalesce("gate_code", F.lit("-")).alias("gate_code"))
 
 
 @query("legacy_import", f"""

@@ -1 +1,109 @@
-"""Queries."""
+"""Queries that run a stream over a given table to its end and return what its sink holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memgov.operators.quarantine import ITEM_SCHEMA
+from memgov.plans import inputs
+from memgov.plans.catalog import query
+from memgov.plans.item_queries import _EVIDENCE_SQL, _evidence
+from memgov.plans.quota_queries import DAY, HOUR, _BY_WRITER, recursive_sql
+from memgov.plans.scan_queries import _DECIDE_SQL
+from memgov.session import new_scratch
+from memgov.sources.requests import checked_bodies
+from memgov.sources.tables import save_items
+from memgov.streaming import gate
+
+
+def _stream(spark, d, name):
+    """The table as a file stream."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/{name}*.parquet")
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"})
+
+
+def _requests(spark, d):
+    return _stream(spark, d, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"), F.col("user_id").cast("string").alias("writer_id"),
+        "event_type", F.unix_millis("ts").alias("ts_ms"), "ts")
+
+
+def _finish(stream, spark, label):
+    """Run to the end and read the sink."""
+    root = new_scratch(spark, label)
+    gate.write_once(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("stream_writer_quota", f"""
+WITH RECURSIVE {inputs.EVENTS_SQL}, {recursive_sql(_BY_WRITER, 2, DAY)} SELECT request_id, admitted FROM steps""")
+def stream_writer_quota(spark, d):
+    """The stream admits what the batch admits."""
+    out = _finish(gate.stream_quota(_requests(spark, d), 2, DAY), spark, "stream-quota")
+    return out.select("request_id", F.col("verdict").alias("admitted"))
+
+
+@query("stream_log_throttle", f"""
+WITH RECURSIVE {inputs.EVENTS_SQL},
+numbered AS MATERIALIZED (SELECT event_type AS k, request_id AS id, ts_ms, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms, request_id) AS n FROM reqs),
+steps AS (
+  SELECT k, n, id, ts_ms AS last, 0 AS held, true AS emitted, 0 AS suppressed FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.k, x.n, x.id, CASE WHEN x.ts_ms - s.last >= {2 * HOUR} THEN x.ts_ms ELSE s.last END,
+    CASE WHEN x.ts_ms - s.last >= {2 * HOUR} THEN 0 ELSE s.held + 1 END, x.ts_ms - s.last >= {2 * HOUR},
+    CASE WHEN x.ts_ms - s.last >= {2 * HOUR} THEN s.held ELSE 0 END
+  FROM steps s JOIN numbered x ON x.k = s.k AND x.n = s.n + 1)
+SELECT id AS request_id, suppressed::BIGINT AS suppressed FROM steps WHERE emitted""")
+def stream_log_throttle(spark, d):
+    out = gate.stream_throttle(_requests(spark, d), F.col("event_type"), F.lit(False), 2 * HOUR)
+    return _finish(out, spark, "stream-throttle").select("request_id", "suppressed")
+
+
+@query("stream_first_seen", """
+SELECT DISTINCT user_id::VARCHAR AS writer_id, event_type FROM events""")
+def stream_first_seen(spark, d):
+    rows = gate.stream_dedupe(_requests(spark, d), ["writer_id", "event_type"], "ts", "60 days")
+    return _finish(rows, spark, "stream-dedupe").select("writer_id", "event_type")
+
+
+@query("stream_gate", f"""
+WITH {_DECIDE_SQL} SELECT request_id, coalesce(reason, '-') AS reason FROM decided""")
+def stream_gate(spark, d):
+    """The request stream split into allowed and refused folders."""
+    turns = _stream(spark, d, "conversations")
+    requests = checked_bodies(inputs.requests_of_turns(turns)).select("request_id", "writer_id", "op", "body")
+    root = new_scratch(spark, "stream-gate")
+    gate.stream_gate(requests, inputs.writers(spark, d), f"{root}/allowed", f"{root}/refused", f"{root}/checkpoint").awaitTermination()
+    allowed, refused = (spark.read.parquet(f"{root}/{side}") for side in ("allowed", "refused"))
+    return allowed.unionByName(refused).select("request_id", F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+@query("stream_quarantine", f"""
+WITH {_EVIDENCE_SQL}
+SELECT status, count(*) AS items, sum(requarantine_count)::BIGINT AS repeats FROM (
+  SELECT CASE WHEN action = 'refresh' THEN status ELSE 'pending' END AS status,
+    coalesce(requarantine_count, 0) + n - CASE WHEN action = 'insert' THEN 1 ELSE 0 END AS requarantine_count
+  FROM acts WHERE action NOT LIKE 'conflict%'
+  UNION ALL SELECT i.status, i.requarantine_count FROM items i WHERE i.o_orderkey NOT IN
+    (SELECT l_orderkey FROM acts WHERE returned AND action NOT LIKE 'conflict%')) GROUP BY ALL""")
+def stream_quarantine(spark, d):
+    """Evidence merged into the item table batch by batch, replays being harmless."""
+    root = new_scratch(spark, "stream-quarantine")
+    save_items(inputs.items(spark, d), f"{root}/items/version={0:012d}")
+    source = f"{root}/candidates"
+    candidates = _evidence(spark, d)
+    candidates.write.parquet(source)
+    stream = spark.readStream.schema(candidates.schema).parquet(source)
+    gate.stream_quarantine(stream, root, f"{root}/checkpoint", at=inputs.at()).awaitTermination()
+    final = spark.read.schema(ITEM_SCHEMA).parquet(f"{root}/items/version={1:012d}")
+    return final.groupBy("status").agg(F.count("*").alias("items"), F.sum("requarantine_count").alias("repeats"))
+
+
+@query("late_requests", """
+SELECT ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE AS late, count(*) AS requests FROM events GROUP BY ALL""")
+def late_requests(spark, d):
+    rows = inputs.event_requests(spark, d)
+    on_time, late = gate.split_late(rows, "ts", F.lit("2024-01-20").cast("timestamp"), 600)
+    both = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.groupBy("late").agg(F.count("*").alias("requests"))

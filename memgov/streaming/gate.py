@@ -117,9 +117,11 @@ def stream_gate(requests: DataFrame, writers: DataFrame, allowed_path: str, refu
     )
 
 
-def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_days: int = 30) -> StreamingQuery:
+def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_days: int = 30,
+                      at: Column | None = None) -> StreamingQuery:
     """Merge each micro-batch into the item table. Batch n reads version n and writes n + 1, and
-    its events go to a folder of their own, so a replay repeats instead of adding."""
+    its events go to a folder of their own, so a replay repeats instead of adding. Expiry is judged
+    at `at`, or at the latest time in the batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -128,7 +130,8 @@ def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_day
         if latest is None:
             save_items(items, f"{root}/items/version={batch_id + 1:012d}")
             return
-        merged = merge_candidates(items, batch, F.lit(latest), f"stream-{batch_id}", ttl_days)
+        moment = F.lit(latest) if at is None else at
+        merged = merge_candidates(items, batch, moment, f"stream-{batch_id}", ttl_days)
         save_items(merged.items, f"{root}/items/version={batch_id + 1:012d}")
         merged.events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id:012d}")
 
