@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,28 @@ from memgov.sources.tables import load_items, save_items
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark) -> None:
-    """State larger than memory lives in RocksDB and is checkpointed to the shared folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+# State larger than memory lives in RocksDB. Empty micro-batches are off, because a query with
+# processing-time expiry would otherwise run them for ever and never reach the end of its input.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def _settings(spark, values: dict[str, str]):
+    """Session settings for the start of one query, which keeps its own copy of them."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class FoldProcessor(StatefulProcessor):
@@ -35,7 +55,7 @@ class FoldProcessor(StatefulProcessor):
         self.fold, self.ttl_ms, self.columns = fold, ttl_ms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "value string", ttl_duration_ms=self.ttl_ms)
+        self.state = handle.getValueState("fold", "value string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts_ms", "request_id"], kind="stable")
@@ -54,7 +74,6 @@ class FoldProcessor(StatefulProcessor):
 
 
 def _fold_stream(rows: DataFrame, key: str, fold, verdict: str, ttl_ms: int) -> DataFrame:
-    use_rocksdb(rows.sparkSession)
     columns = list(dict.fromkeys([key, "request_id", "ts_ms", *fold.columns]))
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", verdict {verdict}"
@@ -88,10 +107,12 @@ def stream_dedupe(events: DataFrame, keys: list[str], time: str, delay: str) ->
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    """Process what is there and stop."""
+    with _settings(stream.sparkSession, STATE_SETTINGS):
+        return (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
 
 
 def stream_gate(requests: DataFrame, writers: DataFrame, allowed_path: str, refused_path: str,
