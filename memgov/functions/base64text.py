@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memgov.functions.text import WHITE
-
-RUN = r"[A-Za-z0-9+/=]{8,}"
+from memgov.functions.text import strip
+
+# Runs of eight or more base64 characters that can look encoded. A run of letters only must have
+# a length divisible by four and must not start with g to v, whose first byte is never UTF-8.
+RUN = (
+    r"(?<![\p{Alnum}+/=])(?=[\p{Alnum}+/=]{8})(?:\p{Alpha}*+[0-9+/=][\p{Alnum}+/=]*+"
+    r"|[A-Za-fw-z]\p{Alpha}{3}(?:\p{Alpha}{4})++(?![\p{Alnum}+/=]))"
+)
 STRICT = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 # Printable or white space, as one class: no control, format or unassigned characters.
 READABLE = r"^(?:\P{C}|[\t-\r\x1c-\x1f\x85])+$"
@@ -45,15 +50,15 @@ def looks_encoded(text: Column) -> Column:
 
 def fragment(text: Column) -> Column:
     """Base64 piece held by a field once separators are removed; null for prose and blanks."""
-    stripped = F.trim(text, F.lit(WHITE))
-    pieces = F.regexp_extract_all(stripped, F.lit("([A-Za-z0-9+/=]+)"), 1)
+    stripped = strip(text)
+    pieces = F.regexp_extract_all(stripped, F.lit(r"([\p{Alnum}+/=]+)"), 1)
     joined = F.array_join(pieces, "")
-    separators = F.regexp_replace(stripped, "[A-Za-z0-9+/=]+", "")
+    separators = F.regexp_replace(stripped, r"[\p{Alnum}+/=]+", "")
     spaced = separators.rlike(r"(?U)[\s\x1c-\x1f]")
-    long_piece = stripped.rlike("[A-Za-z0-9+/=]{8}")
+    long_piece = stripped.rlike(r"[\p{Alnum}+/=]{8}")
     return (
         F.when(stripped == "", None)
-        .when(stripped.rlike("^[A-Za-z0-9+/=]+$"), stripped)
+        .when(stripped.rlike(r"^[\p{Alnum}+/=]++$"), stripped)
         .when(stripped.contains(" ") & long_piece, None)
         .when(stripped.rlike(r"(?U)[\s\x1c-\x1f]") & long_piece, None)
         .when(separators.rlike(r"[\p{L}\p{N}]") | (F.size(pieces) < 2), None)

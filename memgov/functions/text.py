@@ -34,12 +34,14 @@ def is_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITE))
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(rf"(?U){SPACE}"), F.trim(text, F.lit(WHITE))).otherwise(text)
 
 
 def nfkc_unsure(text: Column) -> Column:
     """True where NFKC may change the text; plain texts are settled by one pass."""
-    return text.rlike(NON_ASCII) & (text.rlike(NFKC_PAST) | text.rlike(NFKC_ODD))
+    near = text.rlike("[\\u00a0-\\u00be]") | text.rlike("[\\u0132-\\u0149]")
+    return text.rlike(NON_ASCII) & (text.rlike(NFKC_PAST) | (near & text.rlike(NFKC_ODD)))
 
 
 @F.arrow_udf(T.StringType())

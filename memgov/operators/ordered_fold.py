@@ -66,45 +66,46 @@ def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
     numbers = cut_lineage(ranged.select("_part").distinct().withColumn(
         "_block", F.row_number().over(Window.orderBy("_part")).cast("long")), "fold-numbers")
     ranged = ranged.join(F.broadcast(numbers), "_part").drop("_part")
-    states_schema = "_block long, first_key string, out_key string, out_state string, used string"
+    # Each run of a block leaves its verdicts and one row (last = true) with what it was given and
+    # what it hands on.
+    fields = out + (", _block long, last boolean, first_key string, out_key string, out_state string, "
+                    "used string")
+    names = [*order, "verdict", "_block", "last", "first_key", "out_key", "out_state", "used"]
 
-    def summarise(_, pdf, given):
+    def fold_block(_, pdf, given):
         if not len(pdf):
-            return pd.DataFrame(columns=["_block", "first_key", "out_key", "out_state", "used"])
-        used = given["wanted"].iloc[0]
-        _, _, first, last, left = _pass(fold, pdf, sort, key, pdf.sort_values(sort)[key].iloc[0] if key else "", used)
-        return pd.DataFrame([{"_block": pdf["_block"].iloc[0], "first_key": str(first),
-                              "out_key": str(last), "out_state": left, "used": used}])
-
-    def decide(_, pdf, given):
-        if not len(pdf):
-            return pd.DataFrame(columns=[*order, "verdict"])
+            return pd.DataFrame(columns=names)
         used = given["wanted"].iloc[0]
         start = pdf.sort_values(sort)[key].iloc[0] if key else ""
-        pdf, verdicts, *_rest = _pass(fold, pdf, sort, key, start, used)
-        return pdf[list(order)].assign(verdict=pd.Series(verdicts, index=pdf.index, dtype=object))
-
-    def run(targets, fn, schema):
+        block = pdf["_block"].iloc[0]
+        pdf, verdicts, first, last, left = _pass(fold, pdf, sort, key, start, used)
+        rows = pdf[list(order)].assign(
+            verdict=pd.Series(verdicts, index=pdf.index, dtype=object), _block=block, last=False,
+            first_key=None, out_key=None, out_state=None, used=None)
+        end = rows.iloc[[-1]].assign(
+            verdict=None, last=True, first_key=str(first), out_key=str(last), out_state=left, used=used)
+        return pd.concat([rows, end])[names]
+
+    def run(targets):
         """Fold the blocks named in `targets` (_block, wanted)."""
         given = targets.select(F.col("_block").alias("_b"), "wanted")
         chosen = ranged.join(given, F.col("_block") == F.col("_b"), "left_semi")
-        return chosen.groupBy("_block").cogroup(given.groupBy("_b")).applyInPandas(fn, schema)
+        folded = chosen.groupBy("_block").cogroup(given.groupBy("_b")).applyInPandas(fold_block, fields)
+        return cut_lineage(folded, "fold-run")
 
-    first = numbers.select("_block", F.lit(None).cast("string").alias("wanted"))
-    states = cut_lineage(run(first, summarise, states_schema), "fold-state")
+    done = run(numbers.select("_block", F.lit(None).cast("string").alias("wanted")))
     while True:
-        before = states.select((F.col("_block") + 1).alias("_block"), F.col("out_key").alias("_k"),
-                               F.col("out_state").alias("_s"))
-        wanted = states.join(before, "_block", "left").withColumn(
+        ends = done.filter("last")
+        before = ends.select((F.col("_block") + 1).alias("_block"), F.col("out_key").alias("_k"),
+                             F.col("out_state").alias("_s"))
+        wanted = ends.select("_block", "first_key", "used").join(before, "_block", "left").withColumn(
             "wanted", F.when(F.col("_k") == F.col("first_key"), F.col("_s")))
         stale = wanted.filter(~F.col("wanted").eqNullSafe(F.col("used"))).select("_block", "wanted")
         stale = cut_lineage(stale, "fold-stale")
         if stale.isEmpty():
-            break
-        redone = run(stale, summarise, states_schema)
-        states = cut_lineage(
-            states.join(stale.select("_block"), "_block", "left_anti").unionByName(redone), "fold-state")
-    return run(states.select("_block", F.col("used").alias("wanted")), decide, out)
+            return done.filter(~F.col("last")).select(*order, "verdict")
+        settled = done.join(stale.select("_block"), "_block", "left_anti").select(*names)
+        done = settled.unionByName(run(stale))
 
 
 # --- folds. A state that holds nothing any more is dumped as None. ------------------------------------
@@ -321,11 +322,13 @@ class EvidenceAdmission:
         count_family = (family is not None and not known and reason != "auth_failed"
                         and self.limits.writes_per_writer > 0 and self.limits.families > 0)
         if count_family:
-            live = {f: t for f, t in state["families"].get(family_scope, {}).items() if t > edge}
-            if family not in live and len(live) >= self.limits.families:
-                return False
-            live[family] = now
-            state["families"][family_scope] = live
+            seen = state["families"].setdefault(family_scope, {})
+            if family not in seen or seen[family] <= edge:
+                live = {f: t for f, t in seen.items() if t > edge}
+                if len(live) >= self.limits.families:
+                    return False
+                state["families"][family_scope] = seen = live
+            seen[family] = now
         for name, _ in budgets:
             state["times"][name].append(now)
         return True

@@ -26,9 +26,18 @@ def offered_load(requests: DataFrame, key: str | None, window_ms: int, slice_ms:
         "_slots",
         F.when(F.col("_ts") > next_start - window_ms, F.array(slot, slot + 1)).otherwise(F.array(slot)),
     ).select("_key", "_ts", "_n", slot.alias("_own"), F.explode("_slots").alias("_slot"))
-    span = Window.partitionBy("_key", "_slot").orderBy("_ts").rangeBetween(-(window_ms - 1), 0)
-    loads = placed.withColumn("offered", F.sum("_n").over(span)).filter("_own = _slot").select(
-        "_key", "_ts", "offered")
+    # A tick adds its rows at its time and takes them away one window later, so that one running
+    # sum gives the load; a sliding frame would add up the whole window again for every row.
+    change = F.array(
+        F.struct(F.col("_ts").alias("at"), F.col("_n").alias("delta"), F.lit(True).alias("tick")),
+        F.struct((F.col("_ts") + window_ms).alias("at"), (-F.col("_n")).alias("delta"), F.lit(False).alias("tick")),
+    )
+    moves = placed.select("_key", "_own", "_slot", F.inline(change))
+    running = Window.partitionBy("_key", "_slot").orderBy("at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    loads = moves.withColumn("offered", F.sum("delta").over(running)).filter(
+        F.col("tick") & (F.col("_own") == F.col("_slot"))
+    ).select("_key", F.col("at").alias("_ts"), "offered")
     same = by.eqNullSafe(F.col("_key")) & (F.col("ts_ms") == F.col("_ts"))
     return requests.join(loads, same).drop("_key", "_ts")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memgov import fixed
 from memgov.functions.base64text import is_strict
 from memgov.functions.jsontext import is_representable, string_bytes
+from memgov.functions.steps import held
 from memgov.functions.text import is_blank
 
 
@@ -96,8 +97,8 @@ def _with_verdict(df: DataFrame, message: Column, code: str) -> DataFrame:
 
 def validate_retain(df: DataFrame, body: str = "body") -> DataFrame:
     """Shape of a write request. Adds ok, error_code and error_message."""
-    df = df.withColumn("_value", F.try_parse_json(body))
-    df = df.withColumn("_items", _items(_at(F.col("_value"), "items")))
+    df = held(df, _value=F.try_parse_json(body))
+    df = held(df, _items=_items(_at(F.col("_value"), "items")))
     value = F.col("_value")
     first_bad = F.get(
         F.filter(
@@ -120,7 +121,7 @@ def validate_retain(df: DataFrame, body: str = "body") -> DataFrame:
 
 def validate_recall(df: DataFrame, body: str = "body") -> DataFrame:
     """Shape of a read request. Adds ok, error_code and error_message."""
-    df = df.withColumn("_value", F.try_parse_json(body))
+    df = held(df, _value=F.try_parse_json(body))
     value = F.col("_value")
     query = _at(value, "query")
     limit = _at(value, "max_tokens")
@@ -144,7 +145,7 @@ def validate_recall(df: DataFrame, body: str = "body") -> DataFrame:
 
 def validate_bank_response(df: DataFrame, body: str = "body") -> DataFrame:
     """A recall answer: results of id and text strings; maps are objects or null."""
-    df = df.withColumn("_value", F.try_parse_json(body))
+    df = held(df, _value=F.try_parse_json(body))
     value = F.col("_value")
     results = _items(_at(value, "results"))
     broken = F.exists(
@@ -174,7 +175,7 @@ FACADE_FIELDS = (
 
 def validate_facade_response(df: DataFrame, body: str = "response") -> DataFrame:
     """Response contract by method, resource and presence of an item id."""
-    df = df.withColumn("_value", F.try_parse_json(body))
+    df = held(df, _value=F.try_parse_json(body))
     value, method, resource = F.col("_value"), F.col("method"), F.col("resource")
     with_item = F.col("item_id").isNotNull()
 
@@ -256,7 +257,7 @@ EXTRA_REASONS = (
 
 def validate_evidence(df: DataFrame, record: str = "record") -> DataFrame:
     """A quarantine record before sealing; our audit reasons are accepted too."""
-    df = df.withColumn("_value", F.try_parse_json(record))
+    df = held(df, _value=F.try_parse_json(record))
     value = F.col("_value")
 
     def missing(name):
@@ -281,7 +282,7 @@ def validate_evidence(df: DataFrame, record: str = "record") -> DataFrame:
 
 def validate_envelope(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     """The stored form: versions, algorithms, id, digest and strict base64 parts."""
-    df = df.withColumn("_value", F.try_parse_json(envelope))
+    df = held(df, _value=F.try_parse_json(envelope))
     value = F.col("_value")
     box = _at(value, "encryption")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memgov import fixed
 from memgov.functions import identity
+from memgov.functions.steps import held
 from memgov.operators.quarantine import EVENT_SCHEMA, ITEM_COLUMNS, ITEM_SCHEMA
 from memgov.operators.review import legacy_kind, legacy_postpones
 
@@ -64,8 +65,7 @@ DECISIONS = ("pending", "postponed", "rejected", "promoted")
 
 def parse_legacy_queue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good records and rejected lines with a reason; blank lines are skipped. Needs `value`."""
-    rows = lines.filter(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
-    rows = rows.withColumn("_r", F.from_json("value", LEGACY))
+    rows = held(lines.filter(F.trim("value") != ""), _v=F.try_parse_json("value"))
 
     def text_of(name):
         value = F.variant_get("_v", f"$.{name}", "variant")
@@ -79,7 +79,8 @@ def parse_legacy_queue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(text_of("reason"), F.lit("")) == "", "no_reason")
     )
     # Only a string counts as an id.
-    rows = rows.withColumn("reject_reason", reason).withColumn("_id", text_of("quarantine_id"))
+    rows = held(rows, reject_reason=reason, _id=text_of("quarantine_id"),
+                _r=F.when(reason.isNull(), F.from_json("value", LEGACY)))
     good = rows.filter("reject_reason is null").select(
         *[c for c in rows.columns if c not in ("value", "_v", "_r", "_id", "reject_reason")],
         "_r.timestamp", "_r.reason", "_r.decision", F.col("_id").alias("quarantine_id"),
