@@ -193,10 +193,12 @@ def assemble_response(responses: DataFrame, results: DataFrame, entries: DataFra
     """Answer per request: allowed results in bank order, side maps with the later bank winning.
 
     A request's answer is bounded by the size limit on bank responses. `has_*` tells an absent
-    field from one that was null everywhere.
+    field from one that was null everywhere; a map whose entries were all dropped is empty.
     """
     per_request = responses.groupBy("request_id").agg(
-        *[F.max(F.col(n).isNotNull()).alias(f"has_{n}") for n in (*SUPPLEMENTS, "trace")]
+        *[F.max(F.col(n).isNotNull()).alias(f"has_{n}") for n in (*SUPPLEMENTS, "trace")],
+        *[F.coalesce(F.max(F.col(n).startswith("{")), F.lit(False)).alias(f"_map_{n}")
+          for n in (*SUPPLEMENTS, "trace")],
     )
     allowed = results.filter(F.col("outcome") == "allow")
     texts = allowed.groupBy("request_id").agg(
@@ -216,10 +218,13 @@ def assemble_response(responses: DataFrame, results: DataFrame, entries: DataFra
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
     )
     empty = F.array().cast("array<string>")
+    nothing = F.create_map().cast("map<string,string>")
+    merged = {n: F.when(F.col(f"_map_{n}"), F.coalesce(F.col(n), nothing)) for n in (*SUPPLEMENTS, "trace")}
     return (
         per_request.join(texts, "request_id", "left")
         .join(maps, "request_id", "left")
-        .withColumn("results", F.coalesce("results", empty))
+        .withColumns({"results": F.coalesce("results", empty), **merged})
+        .drop(*[f"_map_{n}" for n in merged])
     )
 
 

@@ -44,6 +44,11 @@ def _settings(spark, values: dict[str, str]):
                 spark.conf.set(name, value)
 
 
+# Idle state is dropped by the wall clock, so this must exceed any delay of the stream behind its
+# events; what a decision sees is bounded by the window itself.
+IDLE_MS = 7 * 24 * 3_600_000
+
+
 class FoldProcessor(StatefulProcessor):
     """Runs one of the ordered folds per key, with its state kept between micro-batches.
 
@@ -85,19 +90,19 @@ def _fold_stream(rows: DataFrame, key: str, fold, verdict: str, ttl_ms: int) ->
 def stream_quota(requests: DataFrame, per_writer: int, window_ms: int) -> DataFrame:
     """Per-writer admission of a stream. The overall cap is one key by nature: see `stream_overall`."""
     fold = folds.KeyedQuota(per_writer, window_ms)
-    return _fold_stream(requests, "writer_id", fold, "boolean", 2 * window_ms)
+    return _fold_stream(requests, "writer_id", fold, "boolean", max(IDLE_MS, 2 * window_ms))
 
 
 def stream_overall(requests: DataFrame, overall: int, per_writer: int, window_ms: int) -> DataFrame:
     """Both caps in one serial stage; all writers share one key."""
     fold = folds.SharedQuota(per_writer, overall, window_ms)
-    return _fold_stream(requests.withColumn("_all", F.lit("all")), "_all", fold, "boolean", 2 * window_ms)
+    return _fold_stream(requests.withColumn("_all", F.lit("all")), "_all", fold, "boolean", max(IDLE_MS, 2 * window_ms))
 
 
 def stream_throttle(events: DataFrame, key: Column, exempt: Column, interval_ms: int = 60_000) -> DataFrame:
     """Log records let through, with the number held back before each."""
     marked = events.withColumn("throttle_key", key).withColumn("exempt", exempt)
-    out = _fold_stream(marked, "throttle_key", folds.Throttle(interval_ms), "long", 2 * interval_ms)
+    out = _fold_stream(marked, "throttle_key", folds.Throttle(interval_ms), "long", max(IDLE_MS, 2 * interval_ms))
     return out.filter("verdict >= 0").withColumnRenamed("verdict", "suppressed").drop("exempt")
 
 

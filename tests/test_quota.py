@@ -158,3 +158,63 @@ def test_fold_keeps_bounded_state():
         fold.feed(state, t, "x")
         assert len(state) <= 2
     assert fold.dump(state, 1000) is None
+
+
+def admit_one_by_one(rows, limits):
+    """The store's rules for evidence that is all new at the start, in arrival order."""
+    times, families, stored, verdicts = {}, {}, {}, {}
+    for rid, t, kind, reason, writer, _, _, key, _, size, scope, family in sorted(rows, key=lambda r: (r[1], r[0])):
+        edge = t - limits.window_ms
+        ident = (kind == "security_event", kind[0] + key if kind == "security_event" else key)
+        known = ident in stored
+        if known:
+            budgets = [("ops", limits.requarantine_ops)]
+        else:
+            name = "unknown-writer" if reason == "unknown_writer" else writer or "unknown-writer"
+            budgets = [("w:" + name, limits.writes_per_writer), ("all", limits.writes_global)]
+        if any(sum(1 for x in times.get(n, []) if x > edge) >= cap for n, cap in budgets):
+            verdicts[rid] = "quarantine_rate_limited"
+            continue
+        if not known and kind != "security_event":
+            live = {f for f, x in families.get(scope, {}).items() if x > edge}
+            if family not in live and len(live) >= limits.families:
+                verdicts[rid] = "quarantine_rate_limited"
+                continue
+            families.setdefault(scope, {})[family] = t
+        elif not known and family is not None:
+            live = {f for f, x in families.get(scope, {}).items() if x > edge}
+            if family not in live and len(live) >= limits.families:
+                verdicts[rid] = "quarantine_rate_limited"
+                continue
+            families.setdefault(scope, {})[family] = t
+        for n, _ in budgets:
+            times.setdefault(n, []).append(t)
+        room = "unknown" if reason == "unknown_writer" else f"writer:{writer}" if writer else f"kind:{kind}"
+        old = stored.get(ident)
+        pending = len(stored) - (old is not None) + 1
+        held = sum(s for s, _ in stored.values()) - (old[0] if old else 0) + size
+        if pending > limits.pending_items or held > limits.encrypted_bytes:
+            verdicts[rid] = "quarantine_capacity_exceeded"
+            continue
+        if kind != "security_event":
+            same = sum(1 for k, (_, r) in stored.items() if r == room and not (k == ident))
+            if same + 1 > limits.writer_allowance:
+                verdicts[rid] = "quarantine_writer_capacity_exceeded"
+                continue
+        stored[ident] = (size, room)
+        verdicts[rid] = None
+    return verdicts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_evidence_equals_one_by_one(spark, seed):
+    rows = candidates(seed, 250)
+    df = spark.createDataFrame(rows, SCHEMA)
+    limits = QuarantineLimits(item_bytes=60, pending_items=60, pending_per_writer=12, encrypted_bytes=1500,
+                              writes_per_writer=4, writes_global=9, families=2, requarantine_ops=5, window_ms=300)
+    at = F.lit("2024-01-01").cast("timestamp")
+    items = spark.createDataFrame([], ITEM_SCHEMA)
+    got = {r["request_id"]: r["code"] for r in quota.admit_evidence(df, items, at, limits, rows_per_block=90).collect()}
+    want = admit_one_by_one(rows, limits)
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    assert len(set(got.values())) >= 3
