@@ -135,7 +135,9 @@ def quarantine_stats(items: DataFrame, events: DataFrame, at: Column) -> DataFra
         _count(F.col("status") == "reviewed_blocked").alias("reviewed_blocked_items"),
         _bytes(~is_expired(at)).alias("encrypted_bytes"),
     )
-    return totals.join(events.agg(F.count("*").alias("event_count")))
+    counted = events.agg(F.count("*").alias("event_count"))
+    both = totals.unionByName(counted, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def queue_total(items: DataFrame, at: Column) -> DataFrame:

@@ -150,12 +150,11 @@ def admit_counts(candidates: DataFrame, items: DataFrame, at: Column,
         .select("request_id", "ts_ms")
     )
     kept = capped.unionByName(narrow.filter(free_kind).select("request_id", "ts_ms"))
-    total = capacity_totals(items, at).select("pending_count")
+    pending = capacity_totals(items, at).first()["pending_count"]
     first = (
         kept.orderBy("ts_ms", "request_id").limit(limits.pending_items)
         .withColumn("_g", F.row_number().over(Window.orderBy("ts_ms", "request_id")))
-        .join(total)
-        .filter(F.col("_g") + F.col("pending_count") <= limits.pending_items)
+        .filter(F.col("_g") + F.lit(pending) <= limits.pending_items)
         .select("request_id", F.lit(True).alias("_in"))
     )
     passed = kept.select("request_id", F.lit(True).alias("_scope_ok"))

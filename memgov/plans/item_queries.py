@@ -70,15 +70,14 @@ def cleanup_preview(spark, d):
 
 
 @query("cleanup_run", f"""
-{_W} SELECT status, count(*) AS items, (SELECT count(*) FROM items WHERE {_OPEN} AND {_CLEAN_SQL}) AS events FROM items
-WHERE NOT ({_OPEN} AND {_CLEAN_SQL}) GROUP BY status""")
+{_W} SELECT 'kept' AS side, status AS label, count(*) AS n FROM items WHERE NOT ({_OPEN} AND {_CLEAN_SQL}) GROUP BY status
+UNION ALL SELECT 'event', 'cleanup', count(*) FROM items WHERE {_OPEN} AND {_CLEAN_SQL}""")
 def cleanup_run(spark, d):
     items = inputs.items(spark, d)
     selector = quarantine.cleanup_selector("pending", _CLEAN, _older())
     expected = quarantine.preview_cleanup(items, selector).first()["count"]
     done = review.run_cleanup(items, inputs.at(), "cleanup", "pending", _CLEAN, _older(), expected)
-    events = done.events.agg(F.count("*").alias("events"))
-    return done.items.groupBy("status").agg(F.count("*").alias("items")).join(events)
+    return _sides(done)
 
 
 @query("queue_page", f"""
@@ -404,20 +403,18 @@ def approval_gate(spark, d):
     return out.select("request_id", F.coalesce("gate_code", F.lit("-")).alias("gate_code"))
 
 
-@query("legacy_import", f"""
+@query("legacy_import", """
 WITH q AS (SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'postponed' ELSE 'promoted' END AS decision,
-    o_orderkey % 11 = 0 AS no_id, o_orderkey % 7 = 0 AS on_file FROM orders)
-SELECT count(*) FILTER (WHERE decision <> 'promoted' AND NOT no_id AND NOT on_file) AS imported,
-  count(*) FILTER (WHERE decision <> 'promoted' AND NOT no_id AND on_file) AS skipped_existing,
-  count(*) FILTER (WHERE decision = 'promoted') AS skipped_finalized,
-  count(*) FILTER (WHERE decision <> 'promoted' AND no_id) AS skipped_without_payload,
-  count(*) FILTER (WHERE decision = 'postponed' AND NOT no_id AND NOT on_file) AS postponed_items,
-  coalesce(sum(CASE WHEN decision <> 'promoted' AND NOT no_id AND NOT on_file THEN
-    CASE WHEN decision = 'postponed' THEN greatest(1, o_orderkey % 3) ELSE 0 END END), 0)::BIGINT AS replayed
-FROM q""")
+    o_orderkey % 11 = 0 AS no_id, o_orderpriority = '5-LOW' AS on_file FROM orders)
+SELECT 'imported' AS measure, count(*) FILTER (WHERE decision <> 'promoted' AND NOT no_id AND NOT on_file) AS n FROM q
+UNION ALL SELECT 'skipped_existing', count(*) FILTER (WHERE decision <> 'promoted' AND NOT no_id AND on_file) FROM q
+UNION ALL SELECT 'skipped_finalized', count(*) FILTER (WHERE decision = 'promoted') FROM q
+UNION ALL SELECT 'skipped_without_payload', count(*) FILTER (WHERE decision <> 'promoted' AND no_id) FROM q
+UNION ALL SELECT 'postponed_items', count(*) FILTER (WHERE decision = 'postponed' AND NOT no_id AND NOT on_file) FROM q
+UNION ALL SELECT 'replayed', coalesce(sum(CASE WHEN decision = 'postponed' AND NOT no_id AND NOT on_file THEN greatest(1, o_orderkey % 3) END), 0)::BIGINT FROM q""")
 def legacy_import(spark, d):
     """Orders as lines of an old review queue; some carry no id, some are on file already."""
-    from memgov.sources.tables import import_legacy, migration_summary, parse_legacy_queue
+    from memgov.sources.tables import OUTCOMES, import_legacy, migration_summary, parse_legacy_queue
 
     orders = inputs.table(spark, d, "orders")
     key = F.col("o_orderkey")
@@ -432,11 +429,13 @@ def legacy_import(spark, d):
         qid.alias("quarantine_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         F.lit("unknown_writer").alias("reason"), F.lit("w").alias("writer_id"), F.lit(None).cast("string").alias("source"),
         F.lit("retain").alias("action"), F.sha2(qid, 256).alias("sha256"), F.lit("{}").alias("envelope"))
-    on_file = orders.filter(key % 7 == 0).select(qid.alias("quarantine_id"))
+    on_file = orders.filter("o_orderpriority = '5-LOW'").select(qid.alias("quarantine_id"))
     outcomes, new, events = import_legacy(good, objects, on_file, "import")
-    return migration_summary(outcomes).join(
-        new.agg(F.count_if(F.col("status") == "postponed").alias("postponed_items"))).join(
-        events.agg(F.count_if(F.col("event_type") == "postponed").alias("replayed")))
+    summary = migration_summary(outcomes)
+    counted = summary.select(F.explode(F.create_map(*[v for o in OUTCOMES for v in (F.lit(o), F.col(o))])).alias("measure", "n"))
+    postponed = new.agg(F.count_if(F.col("status") == "postponed").alias("n")).select(F.lit("postponed_items").alias("measure"), "n")
+    replayed = events.agg(F.count_if(F.col("event_type") == "postponed").alias("n")).select(F.lit("replayed").alias("measure"), "n")
+    return counted.unionByName(postponed).unionByName(replayed)
 
 
 @query("legacy_rejects", """

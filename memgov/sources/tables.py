@@ -105,27 +105,35 @@ def read_legacy_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 def import_legacy(queue: DataFrame, objects: DataFrame, items: DataFrame, batch_id: str):
     """(outcomes, new items, events). `objects` holds opened evidence: quarantine_id, created_at,
-    reason, writer_id, source, action, sha256, envelope. Running it twice imports nothing new."""
+    reason, writer_id, source, action, sha256, envelope. Running it twice imports nothing new.
+
+    Records of one id are merged map-side: the earliest is imported, the others count as existing.
+    Outcomes carry the number of `records` they stand for.
+    """
+    is_open = F.col("decision").isin("pending", "postponed")
+    first = F.min_by(F.struct("timestamp", "decision", "postpone_count", "decided_at"),
+                     F.struct("timestamp", "decision", "postpone_count"))
+    ids = queue.filter(is_open & F.col("quarantine_id").isNotNull()).groupBy("quarantine_id").agg(
+        first.alias("_f"), F.count("*").alias("_n_records")).select("quarantine_id", "_n_records", "_f.*")
     stored = items.select("quarantine_id", F.lit(True).alias("_stored"))
     opened = objects.select(
         "quarantine_id", F.col("created_at").alias("_created"), F.col("reason").alias("_reason"),
         "writer_id", "source", "action", "sha256", "envelope", F.lit(True).alias("_opened"))
-    judged = queue.join(stored, "quarantine_id", "left").join(opened, "quarantine_id", "left")
-    # A record repeated in the queue is imported once: the earliest line wins.
-    from pyspark.sql import Window
-
+    judged = ids.join(stored, "quarantine_id", "left").join(opened, "quarantine_id", "left")
     outcome = (
-        F.when(~F.col("decision").isin("pending", "postponed"), "skipped_finalized")
-        .when(F.col("quarantine_id").isNull(), "skipped_without_payload")
-        .when(F.col("_stored") | (F.col("_nth") > 1), "skipped_existing")
+        F.when(F.col("_stored"), "skipped_existing")
         .when(F.col("_opened").isNull() | legacy_kind(F.col("action")).isNull(), "rejected")
         .otherwise("imported")
     )
-    open_first = F.when(F.col("decision").isin("pending", "postponed"), 0).otherwise(1)
-    judged = judged.withColumn(
-        "_nth", F.when(F.col("quarantine_id").isNotNull(), F.row_number().over(
-            Window.partitionBy("quarantine_id", open_first).orderBy("timestamp", "decision")))
-    ).withColumn("outcome", outcome)
+    judged = judged.withColumn("outcome", outcome)
+    whole = F.col("outcome") != "imported"
+    aside = queue.filter(~(is_open & F.col("quarantine_id").isNotNull())).select(
+        "quarantine_id", F.when(is_open, "skipped_without_payload").otherwise("skipped_finalized").alias("outcome"),
+        F.lit(1).cast("long").alias("records"))
+    decided = judged.select(
+        "quarantine_id", "outcome", F.when(whole, F.col("_n_records")).otherwise(1).alias("records"))
+    repeats = judged.filter(~whole & (F.col("_n_records") > 1)).select(
+        "quarantine_id", F.lit("skipped_existing").alias("outcome"), (F.col("_n_records") - 1).alias("records"))
     fresh = judged.filter("outcome = 'imported'").withColumn(
         "_n", legacy_postpones(F.col("decision"), F.col("postpone_count")))
     moment = F.to_timestamp(F.coalesce("decided_at", "timestamp"))
@@ -154,14 +162,16 @@ def import_legacy(queue: DataFrame, objects: DataFrame, items: DataFrame, batch_
                           F.lit("postponed")).alias("event_id"),
         "quarantine_id", "occurred_at", F.lit("postponed").alias("event_type"),
         F.to_json(F.struct(F.col("k").alias("postpone_count"))).alias("details"))
-    return judged.select("quarantine_id", "decision", "outcome"), new, inserted.unionByName(replayed)
+    return decided.unionByName(repeats).unionByName(aside), new, inserted.unionByName(replayed)
 
 
 OUTCOMES = ("imported", "skipped_existing", "skipped_finalized", "skipped_without_payload")
 
 
 def migration_summary(outcomes: DataFrame) -> DataFrame:
-    return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+    records = F.col("records")
+    return outcomes.agg(*[
+        F.coalesce(F.sum(F.when(F.col("outcome") == o, records)), F.lit(0)).alias(o) for o in OUTCOMES])
 
 
 # --- sealed evidence ---------------------------------------------------------------------------------
