@@ -93,9 +93,15 @@ def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
         folded = chosen.groupBy("_block").cogroup(given.groupBy("_b")).applyInPandas(fold_block, fields)
         return cut_lineage(folded, "fold-run")
 
-    done = run(numbers.select("_block", F.lit(None).cast("string").alias("wanted")))
+    runs = [run(numbers.select("_block", F.lit(None).cast("string").alias("wanted")))]
+
+    def ends_of(number):
+        """One row per block of a run; a small table next to the verdicts."""
+        handed = runs[number].filter("last").select("_block", "first_key", "out_key", "out_state", "used")
+        return handed.withColumn("_run", F.lit(number))
+
+    ends = cut_lineage(ends_of(0), "fold-ends")
     while True:
-        ends = done.filter("last")
         before = ends.select((F.col("_block") + 1).alias("_block"), F.col("out_key").alias("_k"),
                              F.col("out_state").alias("_s"))
         wanted = ends.select("_block", "first_key", "used").join(before, "_block", "left").withColumn(
@@ -103,9 +109,17 @@ def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
         stale = wanted.filter(~F.col("wanted").eqNullSafe(F.col("used"))).select("_block", "wanted")
         stale = cut_lineage(stale, "fold-stale")
         if stale.isEmpty():
-            return done.filter(~F.col("last")).select(*order, "verdict")
-        settled = done.join(stale.select("_block"), "_block", "left_anti").select(*names)
-        done = settled.unionByName(run(stale))
+            break
+        runs.append(run(stale))
+        settled = ends.join(stale.select("_block"), "_block", "left_anti")
+        ends = cut_lineage(settled.unionByName(ends_of(len(runs) - 1)), "fold-ends")
+    # A block's verdicts are those of its latest run.
+    verdicts = None
+    for number, done in enumerate(runs):
+        current = ends.filter(F.col("_run") == number).select("_block")
+        part = done.filter(~F.col("last")).join(current, "_block", "left_semi").select(*order, "verdict")
+        verdicts = part if verdicts is None else verdicts.unionByName(part)
+    return verdicts
 
 
 # --- folds. A state that holds nothing any more is dumped as None. ------------------------------------
