@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memgov.llm import bpe, packing, token_files
+from memgov.llm import bpe, fingerprints, language, packing, quality, token_files
 from memgov.llm.common import prepare, table
 from memgov.session import new_scratch
 
@@ -42,3 +42,18 @@ def token_orc(spark, sf_dir):
 @query("op6_packing")
 def pack_documents(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_language")
+def languages(spark, sf_dir):
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def qualities(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_fingerprints")
+def sketches(spark, sf_dir):
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
