@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memgov.llm import bpe, fingerprints, language, packing, quality, token_files
+from memgov.llm import bpe, fingerprints, language, neardup, packing, quality, token_files
 from memgov.llm.common import prepare, table
 from memgov.session import new_scratch
 
@@ -57,3 +57,8 @@ def qualities(spark, sf_dir):
 @query("op5_fingerprints")
 def sketches(spark, sf_dir):
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_near_dedup")
+def near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
