@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memgov.llm import bpe, fingerprints, language, neardup, packing, quality, token_files
+from memgov.llm import bpe, fingerprints, language, metric_tree, neardup, packing, quality, token_files, wrappers
 from memgov.llm.common import prepare, table
 from memgov.session import new_scratch
 
@@ -62,3 +62,27 @@ def sketches(spark, sf_dir):
 @query("op8_simhash_near_dedup")
 def near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+TOP_PRODUCTS = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS parts FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.parts, c.parts)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM ranked WHERE n <= 20
+"""
+
+
+@query("op9_top_products", TOP_PRODUCTS)
+def top_products(spark, sf_dir):
+    return metric_tree.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_page_text")
+def page_text(spark, sf_dir):
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
