@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memgov.llm import bpe, fingerprints, language, metric_tree, neardup, packing, quality, token_files, wrappers
+from memgov.llm import bpe, fingerprints, language, lines, metric_tree, neardup, packing, quality, token_files, wrappers
 from memgov.llm.common import prepare, table
 from memgov.session import new_scratch
 
@@ -86,3 +86,8 @@ def top_products(spark, sf_dir):
 @query("op10_page_text")
 def page_text(spark, sf_dir):
     return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_line_dedup")
+def line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
