@@ -57,7 +57,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class MTree:
     """Nodes in arrays. Inner nodes list children, leaves list entries; both know their parent distance."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, longest: int, **built):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, longest: float, **built):
         self.vectors, self.ids, self.rows, self.longest = vectors, ids, rows, longest
         self.real = vectors.astype(float)
         self.lift = np.sqrt(np.maximum(longest - (self.real ** 2).sum(1), 0))
@@ -129,7 +129,7 @@ class MTree:
     @classmethod
     def load(cls, data: bytes) -> MTree:
         parts = unpack(data)
-        return cls(parts.pop("vectors"), parts.pop("ids"), parts.pop("rows"), int(parts.pop("longest")), **parts)
+        return cls(parts.pop("vectors"), parts.pop("ids"), parts.pop("rows"), float(parts.pop("longest")), **parts)
 
     def search(self, query: np.ndarray, own_row: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the best k entries with a score of `bound` or more, the query's own row left out."""
@@ -205,7 +205,7 @@ def top_products(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFra
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are all other rows, rows with
     the same vec_id or an equal vector included. Vectors that are null or hold null or non-finite components take no
-    part; of vectors of unequal lengths the shorter count as filled up with zeros. Ties go to the
+    part. Scores have to fit a long. Of vectors of unequal lengths the shorter count as filled up with zeros. Ties go to the
     smaller vec_id, a null vec_id comes last. Fewer candidates than k give fewer rows.
     """
     spark = embeddings.sparkSession
@@ -214,9 +214,9 @@ def top_products(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFra
     made = cut_lineage(whole_numbers(embeddings).select(
         F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "parts", asks.alias("asks"),
         F.monotonically_increasing_id().alias("row")), "vectors")
-    square = F.aggregate("parts", F.lit(0).cast("long"), lambda a, b: a + b * b)
+    square = F.aggregate("parts", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
     total = made.agg(F.count(F.lit(1)), F.max(square), F.max(F.size("parts"))).first()
-    count, longest, width = total[0], total[1] or 0, max(total[2] or 0, 1)
+    count, longest, width = total[0], float(total[1] or 0), max(total[2] or 0, 1)
     # At most SAMPLE rows come to the driver.
     sample = as_matrix(pd.Series([r[0] for r in made.orderBy(F.xxhash64("row"), "row").select("parts").limit(SAMPLE).collect()]), width)
     sample_rows = sample.astype(float)
