@@ -169,6 +169,18 @@ def last_key_wins(bodies: pa.Array) -> pa.Array:
     return pa.array([b if b is None else one(b) for b in bodies.to_pylist()], pa.string())
 
 
+def parsed(text: str | None):
+    """The value of a JSON text, or None if there is none: malformed text is refused, never raised."""
+    try:
+        return None if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def well_formed(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
 @F.arrow_udf(T.StringType())
 def string_projection(bodies: pa.Array) -> pa.Array:
     """Keep only strings of a nested value; every other scalar becomes null."""
@@ -183,7 +195,7 @@ def string_projection(bodies: pa.Array) -> pa.Array:
         return None
 
     return pa.array(
-        [b if b is None else json.dumps(keep(json.loads(b)), ensure_ascii=False)
+        [None if (v := parsed(b)) is None and b != "null" else json.dumps(keep(v), ensure_ascii=False)
          for b in bodies.to_pylist()],
         pa.string(),
     )
@@ -219,7 +231,9 @@ def family_forms(bodies: pa.Array) -> pa.Array:
         return on_other(value)
 
     def one(body):
-        value = json.loads(body)
+        value = parsed(body)
+        if value is None and body != "null":
+            return None
         return [
             render_canonical(rebuild(value, str, lambda v: v)),
             render_canonical(rebuild(value, shape, kind)),
@@ -230,6 +244,36 @@ def family_forms(bodies: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(T.LongType())
+def _walked_bytes(bodies: pa.Array) -> pa.Array:
+    def total(value):
+        size, waiting = 0, [value]
+        while waiting:
+            one = waiting.pop()
+            if isinstance(one, str):
+                size += len(one.encode("utf-8", "surrogatepass"))
+            elif isinstance(one, list):
+                waiting.extend(one)
+            elif isinstance(one, dict):
+                waiting.extend(one.values())
+        return size
+
+    return pa.array([None if b is None else total(parsed(b)) for b in bodies.to_pylist()], pa.int64())
+
+
+def with_value_bytes(df: DataFrame, body: str = "body", target: str = "value_bytes") -> DataFrame:
+    """UTF-8 bytes of all string values of a JSON body as sent, however many; keys do not count.
+
+    Bodies without escapes are measured by pattern, the others are walked.
+    """
+    plain = ~F.col(body).contains("\\")
+    walked = df.withColumn("_walked", _walked_bytes(F.when(~plain, F.col(body))))
+    token = F.lit('"([^"]*)"\\s*+(:?)')
+    strings = F.arrays_zip(F.regexp_extract_all(F.col(body), token, 1).alias("s"), F.regexp_extract_all(F.col(body), token, 2).alias("k"))
+    values = F.transform(F.filter(strings, lambda t: t["k"] == ""), lambda t: t["s"])
+    return walked.withColumn(target, F.when(plain, string_bytes(values)).otherwise(F.col("_walked"))).drop("_walked")
+
+
 def string_bytes(texts: Column) -> Column:
     """UTF-8 bytes over an array of strings."""
     return F.aggregate(

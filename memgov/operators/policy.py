@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memgov import fixed
 from memgov.functions import identity
-from memgov.functions.jsontext import audit_digest, is_representable
+from memgov.functions.jsontext import audit_digest, is_representable, too_deep, well_formed, with_value_bytes
 from memgov.functions.paths import resolve_routes
 from memgov.operators import routing
+from memgov.operators.quota import admit_quota
 from memgov.operators.scan import is_safe, scan
+from memgov.operators.validate import check_retain_bounds, item_count, validate_retain
 from memgov.operators.walk import json_entries, walk_extras, walk_result, with_units
+from memgov.session import cut_lineage
+from memgov.sources.requests import checked_bodies
 
 STAMPS = ("router_writer_id", "router_source", "router_decision", "router_target_bank")
 
@@ -35,44 +41,93 @@ def _evidence(action: str) -> Column:
     return identity.request_payload(action, F.col("writer_id"), F.col("body"))
 
 
+def _refused(requests: DataFrame, units: str | None) -> DataFrame:
+    """Adds error_code: why a body is not decided at all. A `parse_error` or `refusal` column goes first; a
+    body that is missing or no JSON is refused as well, whoever read it."""
+    codes = [F.col(c) for c in ("parse_error", "refusal") if c in requests.columns]
+    if units is None:
+        codes.append(F.when(~F.coalesce(well_formed(F.col("body")), F.lit(False)), "invalid_json"))
+    return requests.withColumn("error_code", F.coalesce(*codes, F.lit(None).cast("string")))
+
+
 def decide_retain(requests: DataFrame, writers: DataFrame, units: str | None = None) -> DataFrame:
-    """Write requests: allowed into the write bank, or quarantined with reason and findings.
+    """Write requests: allowed into the write bank, quarantined with reason and findings, or invalid.
 
-    `units` names a column of scan units made beforehand; otherwise the JSON body is walked.
+    Invalid requests have an error_code, are not scanned and name no bank. `units` names a column of
+    scan units made beforehand; otherwise the JSON body is walked.
     """
-    routed = routing.route_writers(requests, writers)
+    routed = routing.route_writers(_refused(requests, units), writers)
     if units is None:
         routed, units = with_units(routed, "body", "retain"), "units"
     # Unknown writers are refused unseen, so their text is not scanned.
-    routed = routed.withColumn(units, F.when(F.col("known_writer"), F.col(units)))
-    scanned = scan(routed, units)
-    reason = F.when(~F.col("known_writer"), "unknown_writer").when(~is_safe(), "suspicious_content")
+    seen = F.col("known_writer") & F.col("error_code").isNull()
+    scanned = scan(routed.withColumn(units, F.when(seen, F.col(units))), units)
     return (
-        scanned.withColumn("reason", reason)
-        .withColumn("decision", F.when(reason.isNull(), "allowed").otherwise("quarantined"))
-        .withColumn("target_bank", F.when(F.col("known_writer"), F.col("write_bank")))
+        _decided(scanned, "suspicious_content", "allowed")
+        .withColumn("target_bank", F.when(seen, F.col("write_bank")))
         .drop(units)
     )
 
 
+def _decided(scanned: DataFrame, suspicious: str, passed: str) -> DataFrame:
+    invalid = F.col("error_code").isNotNull()
+    reason = F.when(invalid, F.lit(None)).when(~F.col("known_writer"), "unknown_writer").when(~is_safe(), suspicious)
+    decision = F.when(invalid, "invalid").when(F.col("reason").isNotNull(), "quarantined").otherwise(passed)
+    return scanned.withColumn("reason", reason.cast("string")).withColumn("decision", decision)
+
+
 def decide_recall(requests: DataFrame, writers: DataFrame, units: str | None = None) -> DataFrame:
-    """Read requests: fan out, or an empty answer and a quarantined request."""
-    routed = routing.route_writers(requests, writers)
+    """Read requests: fan out, an empty answer and a quarantined request, or invalid with an error_code."""
+    routed = routing.route_writers(_refused(requests, units), writers)
     if units is None:
         routed, units = with_units(routed, "body", "recall"), "units"
-    routed = routed.withColumn(units, F.when(F.col("known_writer"), F.col(units)))
-    scanned = scan(routed, units)
-    reason = F.when(~F.col("known_writer"), "unknown_writer").when(~is_safe(), "suspicious_query")
+    seen = F.col("known_writer") & F.col("error_code").isNull()
+    scanned = scan(routed.withColumn(units, F.when(seen, F.col(units))), units)
     return (
-        scanned.withColumn("reason", reason)
-        .withColumn("decision", F.when(reason.isNull(), "fan_out").otherwise("quarantined"))
-        .withColumn(
-            "target_bank", F.when(F.col("known_writer"), identity.recall_target(F.col("read_banks")))
-        )
+        _decided(scanned, "suspicious_query", "fan_out")
+        .withColumn("target_bank", F.when(seen, identity.recall_target(F.col("read_banks"))))
         .drop(units)
     )
 
 
+ITEM = ("struct<content:string,context:string,document_id:string,metadata:map<string,string>,tags:array<string>,"
+        "timestamp:string,update_mode:string>")
+
+
+@dataclass(frozen=True)
+class RetainOutcome:
+    """What becomes of write requests: one decision each, rows for the banks, evidence for quarantine."""
+
+    decisions: DataFrame
+    bank_rows: DataFrame
+    candidates: DataFrame
+
+
+def retain_chain(requests: DataFrame, writers: DataFrame, limits: fixed.TrafficLimits = fixed.TrafficLimits(),
+                 at: str = "at") -> RetainOutcome:
+    """Write requests from raw body to outcome: parse, shape, bounds, route, scan, quota, stamp.
+
+    Needs request_id, writer_id, ts_ms, the raw body and an ISO text `at`. A decision is invalid or
+    quarantined (with code or reason), rate_limited, or allowed. Only allowed requests use quota. Bank rows
+    are the items of allowed requests with their stamps.
+    """
+    shaped = validate_retain(checked_bodies(requests)).withColumnRenamed("error_code", "shape_code")
+    sized = with_value_bytes(shaped.withColumn("item_count", item_count(F.col("body"))))
+    bounded = check_retain_bounds(sized, limits).withColumn("refusal", F.coalesce("shape_code", "bound_code"))
+    decided = cut_lineage(decide_retain(bounded, writers), "retain-chain")
+    allowed = decided.filter(F.col("decision") == "allowed")
+    quota = admit_quota(allowed.select("request_id", "writer_id", "ts_ms"), limits.retain_writer, limits.retain_global, limits.window_ms)
+    judged = decided.join(quota.select("request_id", "admitted", "retry_after_s"), "request_id", "left")
+    judged = cut_lineage(judged.withColumn("decision", F.when(F.col("admitted") == F.lit(False), "rate_limited").otherwise(F.col("decision"))),
+                         "retain-judged")
+    items = F.from_json(F.get_json_object("body", "$.items"), f"array<{ITEM}>")
+    stamped = judged.filter(F.col("decision") == "allowed").withColumn("items", items)
+    stamped = stamped.withColumn("items", stamp_items(F.col("items"), F.col("writer_id"), F.col("source"), F.col("target_bank"), "allowed"))
+    rows = stamped.select("request_id", "target_bank", F.posexplode("items").alias("item_pos", "item"))
+    return RetainOutcome(judged, rows.select("request_id", "target_bank", "item_pos", "item.*"),
+                         quarantine_candidates(judged, "retain_request", at))
+
+
 def quarantine_candidates(decided: DataFrame, kind: str, at: str = "at") -> DataFrame:
     """Evidence rows of refused requests, keyed so that repeats merge. Needs an `at` ISO text."""
     action = "retain" if kind == "retain_request" else "recall"
@@ -97,19 +152,22 @@ def quarantine_candidates(decided: DataFrame, kind: str, at: str = "at") -> Data
 
 
 def decide_recalled(results: DataFrame, items: DataFrame) -> DataFrame:
-    """Each recalled memory: allow, suppress or requarantine, by state, digest and scan.
+    """Each recalled memory: allow, suppress or requarantine, by state, digest and scan; invalid if the
+    result is no JSON or nested too deep, which ends neither the job nor the other results.
 
     Rows whose outcome does not depend on a scan are not scanned; approved text is not scanned
     again, but its other fields are.
     """
     df = routing.with_memory_state(results, items)
+    readable = F.coalesce(well_formed(F.col("result")) & ~too_deep(F.col("result")), F.lit(False))
     df = df.withColumn("content_sha256", identity.recalled_digest(F.col("memory_id"), F.col("text")))
     same = F.col("state_sha256").eqNullSafe(F.col("content_sha256"))
     closed = F.col("state").isin("reviewed_blocked", *fixed.UNDER_REVIEW)
     approved = F.col("state") == "reviewed_allowed"
     waiting = F.col("state").isin(*fixed.REVIEWABLE)
     mode = (
-        F.when(closed, "closed")
+        F.when(~readable, "invalid")
+        .when(closed, "closed")
         .when(approved & same, "extras")
         .when(approved, "changed")
         .when(waiting & same, "waiting")
@@ -120,9 +178,10 @@ def decide_recalled(results: DataFrame, items: DataFrame) -> DataFrame:
     df = df.withColumn("_whole", walk_result(F.when(F.col("_mode").isin("whole", "changed"), F.col("result"))))
     df = df.withColumn("_extras", walk_extras(F.when(F.col("_mode") == "extras", F.col("result"))))
     df = scan(df.withColumn("units", F.coalesce("_whole", "_extras")).drop("_whole", "_extras"))
-    safe = F.coalesce(is_safe(), F.lit(True))
+    safe = is_safe()
     outcome = (
-        F.when(F.col("_mode").isin("closed", "waiting"), "suppress")
+        F.when(F.col("_mode") == "invalid", "invalid")
+        .when(F.col("_mode").isin("closed", "waiting"), "suppress")
         .when(F.col("_mode") == "changed", "requarantine")
         .when(safe, "allow")
         .when(F.col("_mode") == "extras", "requarantine")
@@ -153,29 +212,25 @@ def filter_supplementals(responses: DataFrame) -> DataFrame:
 
     Unsafe entries carry the digest and key for their audit row.
     """
-    frames = []
+    def entry(field: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), key.alias("key"), value.alias("value"))
+
+    # One pass over the answers: all maps and the trace become one list of entries.
+    parts = responses
     for name in SUPPLEMENTS:
-        entries = responses.withColumn("_entries", json_entries(F.col(name)))
-        one = entries.select(
-            "request_id", "bank_id", "bank_pos", F.lit(name).alias("field"),
-            F.explode("_entries").alias("_e"),
-        ).select("request_id", "bank_id", "bank_pos", "field", "_e.key", "_e.value")
-        frames.append(
-            one.withColumn(
-                "evidence",
-                F.concat(F.lit(f'{{"{name}":{{'), identity.json_text(F.col("key")), F.lit(":"),
-                         F.col("value"), F.lit("}}")),
-            )
-        )
-    is_map = F.col("trace").startswith("{")
-    trace = responses.filter(is_map).select(
-        "request_id", "bank_id", "bank_pos", F.lit("trace").alias("field"),
-        F.lit(None).cast("string").alias("key"), F.col("trace").alias("value"),
-        F.concat(F.lit('{"trace":'), F.col("trace"), F.lit("}")).alias("evidence"),
-    )
-    entries = trace
-    for frame in frames:
-        entries = entries.unionByName(frame)
+        parts = parts.withColumn(f"_{name}", json_entries(F.col(name)))
+    nothing = F.array().cast("array<struct<key:string,value:string>>")
+
+    def listed(field: str) -> Column:
+        return F.transform(F.coalesce(f"_{field}", nothing), lambda e: entry(field, e["key"], e["value"]))
+
+    lists = [listed(name) for name in SUPPLEMENTS]
+    is_map = F.coalesce(F.col("trace").startswith("{") & well_formed(F.col("trace")), F.lit(False))
+    lists.append(F.when(is_map, F.array(entry("trace", F.lit(None).cast("string"), F.col("trace"))))
+                 .otherwise(F.array().cast("array<struct<field:string,key:string,value:string>>")))
+    entries = parts.select("request_id", "bank_id", "bank_pos", F.inline(F.concat(*lists)))
+    of_map = F.concat(F.lit('{"'), F.col("field"), F.lit('":{'), identity.json_text(F.col("key")), F.lit(":"), F.col("value"), F.lit("}}"))
+    entries = entries.withColumn("evidence", F.when(F.col("field") == "trace", F.concat(F.lit('{"trace":'), F.col("value"), F.lit("}"))).otherwise(of_map))
     scanned = scan(with_units(entries, "evidence", "recalled_memory")).drop("units")
     digest = audit_digest(F.when(~is_safe(), F.col("evidence")))
     return scanned.withColumn("safe", is_safe()).withColumn("content_sha256", digest).withColumn(

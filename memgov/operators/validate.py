@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memgov import fixed
 from memgov.functions.base64text import is_strict
-from memgov.functions.jsontext import is_representable, string_bytes
+from memgov.functions.jsontext import is_representable, too_deep
 from memgov.functions.steps import held
 from memgov.functions.text import is_blank
 
@@ -153,7 +153,7 @@ def validate_bank_response(df: DataFrame, body: str = "body") -> DataFrame:
         lambda r: ~kind_of(_at(r, "id")).eqNullSafe("string")
         | ~kind_of(_at(r, "text")).eqNullSafe("string"),
     )
-    message = F.when(
+    message = F.when(too_deep(F.col(body)) | ~is_representable(F.col(body)), "unsupported JSON value").when(
         ~kind_of(value).eqNullSafe("object") | results.isNull() | broken, "invalid results"
     )
     for name in ("chunks", "entities", "source_facts", "trace"):
@@ -216,14 +216,6 @@ def item_count(body: Column) -> Column:
     return F.size(F.try_variant_get(F.try_parse_json(body), "$.items", "array<variant>"))
 
 
-def value_bytes(units: Column) -> Column:
-    """UTF-8 bytes of all string values of scan units; keys are not counted."""
-    values = F.flatten(
-        F.transform(units, lambda u: F.filter(u["fields"], lambda f: ~f["is_key"])["text"])
-    )
-    return string_bytes(values)
-
-
 def check_retain_bounds(
     df: DataFrame, limits: fixed.TrafficLimits = fixed.TrafficLimits(),
     items: str = "item_count", size: str = "value_bytes",

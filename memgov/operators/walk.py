@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memgov import fixed
+from memgov.functions.jsontext import parsed
 from memgov.functions.text import with_canonical_text
 
 UNITS = T.ArrayType(
@@ -92,7 +93,11 @@ def _unit(value, path):
 
 
 def _units_of(body: str, kind: str):
-    value = json.loads(body)
+    value = parsed(body)
+    if value is None and body.strip() != "null":
+        return None
+    if kind == "recalled_extras" and not isinstance(value, dict):
+        kind = "recalled_memory"
     if kind == "recalled_extras":
         value = {k: v for k, v in value.items() if k not in ("id", "text")}
         kind = "recalled_memory"
@@ -129,7 +134,7 @@ def json_entries(maps: pa.Array) -> pa.Array:
     """Entries of a JSON object in document order, each value as JSON text; null otherwise."""
 
     def one(text):
-        value = None if text is None else json.loads(text)
+        value = parsed(text)
         if not isinstance(value, dict):
             return None
         return [{"key": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in value.items()]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from memgov.functions import identity, jsontext, text as texts
 from memgov.operators import validate
-from memgov.operators.walk import with_units
 from memgov.plans import inputs
 from memgov.plans.catalog import query
 from memgov.sources.requests import checked_bodies
@@ -173,9 +172,19 @@ def retain_bounds(spark, d):
 WITH {inputs.TURNS_SQL}
 SELECT request_id, 1::INT AS items, octet_length(encode(concat(content, context, role)))::BIGINT AS bytes FROM turns""")
 def request_bytes_turns(spark, d):
-    units = with_units(inputs.turn_requests(spark, d), "body", "retain")
-    return units.select("request_id", validate.item_count(F.col("body")).alias("items"),
-                        validate.value_bytes(F.col("units")).alias("bytes"))
+    sized = jsontext.with_value_bytes(inputs.turn_requests(spark, d))
+    return sized.select("request_id", validate.item_count(F.col("body")).alias("items"), F.col("value_bytes").alias("bytes"))
+
+
+@query("request_bytes_wide", """
+SELECT doc_id, 150::INT AS items, (150 * octet_length(encode(concat('ＡＢ', text))))::BIGINT AS bytes FROM documents WHERE n_chars < 2000""")
+def request_bytes_wide(spark, d):
+    """Bodies of more strings than a scan looks at, with letters that normalising would shorten."""
+    docs = inputs.table(spark, d, "documents").filter("n_chars < 2000")
+    item = F.struct(F.concat(F.lit("ＡＢ"), F.col("text")).alias("content"))
+    body = docs.select("doc_id", F.to_json(F.struct(F.array_repeat(item, 150).alias("items"))).alias("body"))
+    sized = jsontext.with_value_bytes(body)
+    return sized.select("doc_id", validate.item_count(F.col("body")).alias("items"), F.col("value_bytes").alias("bytes"))
 
 
 @query("recall_bounds", """

@@ -329,6 +329,80 @@ def retain_candidates(spark, d):
     return out.select("request_id", "reason", "dedupe_key")
 
 
+_BROKEN = 5  # every so many requests one is cut off, one is empty and one has too many items
+
+
+def _broken_turns(spark, d):
+    turns = inputs.turn_requests(spark, d)
+    n = F.col("conv_id") * 8 + F.col("turn")
+    many = F.concat(F.lit('{"items":['), F.array_join(F.array_repeat(F.lit('{"content":"x"}'), 101), ","), F.lit("]}"))
+    body = (F.when(n % _BROKEN == 0, F.expr("left(body, length(body) - 1)")).when(n % _BROKEN == 1, '{"items":[]}')
+            .when(n % _BROKEN == 2, many).otherwise(F.col("body")))
+    return turns.withColumns({"body": body, "ts_ms": (n * 1000).cast("long"), "at": F.lit("2024-01-01T00:00:00.000Z")})
+
+
+_CHAIN_SQL = f"""
+{_DECIDE_SQL},
+coded AS (SELECT *, conv_id * 8 + turn AS n, CASE (conv_id * 8 + turn) % {_BROKEN} WHEN 0 THEN 'invalid_json'
+    WHEN 1 THEN 'invalid_retain_body' WHEN 2 THEN 'retain_item_limit_exceeded' END AS code FROM decided),
+turned AS (SELECT *, CASE WHEN code IS NOT NULL THEN 'invalid' WHEN reason IS NOT NULL THEN 'quarantined'
+    WHEN row_number() OVER (PARTITION BY writer_id, code IS NULL AND reason IS NULL ORDER BY n) = 1 THEN 'allowed'
+    ELSE 'rate_limited' END AS decision FROM coded)"""
+
+
+def _chain(spark, d):
+    once = fixed.TrafficLimits(retain_writer=1, retain_global=0, window_ms=10**12)
+    return policy.retain_chain(_broken_turns(spark, d), inputs.writers(spark, d), once)
+
+
+@query("retain_chain", f"""
+WITH {_CHAIN_SQL}
+SELECT request_id, decision, coalesce(code, '-') AS code, CASE WHEN code IS NULL THEN coalesce(reason, '-') ELSE '-' END AS reason
+FROM turned""")
+def retain_chain(spark, d):
+    """Write requests from raw body to outcome, broken ones among them; one per writer fits the quota."""
+    out = _chain(spark, d).decisions
+    return out.select("request_id", "decision", F.coalesce("error_code", F.lit("-")).alias("code"),
+                      F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+@query("retain_chain_rows", f"""
+WITH {_CHAIN_SQL}
+SELECT request_id, write_bank AS target_bank, 0::INT AS item_pos, content, context, writer_id AS router_writer_id,
+  'allowed' AS router_decision FROM turned WHERE decision = 'allowed'""")
+def retain_chain_rows(spark, d):
+    """The stamped rows that the same requests leave in the banks."""
+    rows = _chain(spark, d).bank_rows
+    return rows.select("request_id", "target_bank", "item_pos", "content", "context",
+                       F.col("metadata")["router_writer_id"].alias("router_writer_id"),
+                       F.col("metadata")["router_decision"].alias("router_decision"))
+
+
+def _luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+# Card digits over four fields, then one more digit that a scan of everything together would swallow.
+_CARD_PARTS = (("4539", "1488", "0343", "6467"), ("5500", "0055", "5555", "5559"), ("6011", "0009", "9013", "9421"), ("1234", "5678", "9012", "3456"))
+_CARD_FOUND = tuple("yes" if _luhn("".join(_CARD_PARTS[n % 4])) or _luhn("".join(_CARD_PARTS[n % 4]) + str(n // 4)) else "no"
+                    for n in range(40))
+
+
+@query("split_cards_turns", f"""
+SELECT concat(conv_id, ':', turn) AS request_id, {inputs.sql_pick(_CARD_FOUND, '(conv_id * 8 + turn)')} AS card FROM conversations""")
+def split_cards_turns(spark, d):
+    """Card numbers that only several fields together complete, and numbers that are none."""
+    turns = inputs.table(spark, d, "conversations")
+    n = F.col("conv_id") * 8 + F.col("turn")
+    parts = [F.concat(F.lit(f'"{name}":"'), inputs.pick(tuple(c[i] for c in _CARD_PARTS), n), F.lit('"')) for i, name in enumerate("pqrs")]
+    last = F.concat(F.lit('"t":"'), F.floor(n % 40 / 4).cast("string"), F.lit('"'))
+    rows = turns.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"),
+                        F.concat(F.lit("{"), F.concat_ws(",", *parts, last), F.lit("}")).alias("body"))
+    out = scanning.scan(with_units(rows, "body", "recall"))
+    found = F.exists("findings", lambda f: (f["detector"] == "sensitive_data") & (f["reason"] == "split_instruction"))
+    return out.select("request_id", F.when(found, "yes").otherwise("no").alias("card"))
+
+
 @query("stamped_items_turns", f"""
 WITH {_DECIDE_SQL}
 SELECT request_id, writer_id AS router_writer_id, source AS router_source, 'allowed' AS router_decision,

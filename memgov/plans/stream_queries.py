@@ -72,7 +72,7 @@ WITH {_DECIDE_SQL} SELECT request_id, coalesce(reason, '-') AS reason FROM decid
 def stream_gate(spark, d):
     """The request stream split into allowed and refused folders."""
     turns = _stream(spark, d, "conversations")
-    requests = checked_bodies(inputs.requests_of_turns(turns)).select("request_id", "writer_id", "op", "body")
+    requests = checked_bodies(inputs.requests_of_turns(turns)).select("request_id", "writer_id", "op", "body", "parse_error")
     root = new_scratch(spark, "stream-gate")
     gate.stream_gate(requests, inputs.writers(spark, d), f"{root}/allowed", f"{root}/refused", f"{root}/checkpoint").awaitTermination()
     allowed, refused = (spark.read.parquet(f"{root}/{side}") for side in ("allowed", "refused"))

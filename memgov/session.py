@@ -1,13 +1,19 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings and the shared scratch folder.
+
+Executors and the driver meet in spark.checkpoint.dir only. Local sessions, where all run in one process
+tree, get a folder of their own if it is unset; on a cluster that is an error.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,12 +33,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary folder only if it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="memgov-")
@@ -40,7 +48,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/memgov-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/memgov-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the folders made so far, once nothing that reads them is needed any more."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memgov.operators import ordered_fold as folds
-from memgov.operators.policy import decide_recall, decide_retain
+from memgov.operators.policy import decide_recall, decide_retain, quarantine_candidates
 from memgov.operators.quarantine import merge_candidates
 from memgov.operators.review import Reviewed, prune_events, recover_stale, sweep_expired
 from memgov.sources.tables import load_items, save_items
@@ -121,33 +121,46 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def stream_gate(requests: DataFrame, writers: DataFrame, allowed_path: str, refused_path: str,
-                checkpoint: str) -> StreamingQuery:
+                checkpoint: str, candidates_path: str | None = None, at: str = "at",
+                trigger: dict | None = None) -> StreamingQuery:
     """Requests split into allowed and refused folders, one sub-folder per micro-batch, so that a
-    replayed batch overwrites its own output."""
+    replayed batch overwrites its own output. Every request comes out: bodies that were refused on
+    reading and operations that are none are invalid, with an error_code. With `candidates_path` the
+    evidence of quarantined requests is written as well, at the time in `at`."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         reads = decide_recall(batch.filter("op = 'recall'"), writers)
         writes = decide_retain(batch.filter("op = 'retain'"), writers)
-        columns = ["request_id", "writer_id", "op", "decision", "reason", "target_bank", "findings"]
-        decided = writes.select(*columns).unionByName(reads.select(*columns)).persist()
+        other = batch.filter("op is null or op not in ('recall', 'retain')").withColumn("refusal", F.lit("unsupported_operation"))
+        columns = ["request_id", "writer_id", "op", "decision", "reason", "error_code", "target_bank", "findings"]
+        decided = writes.select(*columns)
+        for frame in (reads, decide_retain(other, writers)):
+            decided = decided.unionByName(frame.select(*columns))
+        decided = decided.persist()
         try:
             part = f"batch={batch_id:012d}"
-            decided.filter("reason is null").write.mode("overwrite").parquet(f"{allowed_path}/{part}")
-            decided.filter("reason is not null").write.mode("overwrite").parquet(f"{refused_path}/{part}")
+            passed = F.col("decision").isin("allowed", "fan_out")
+            decided.filter(passed).write.mode("overwrite").parquet(f"{allowed_path}/{part}")
+            decided.filter(~passed).write.mode("overwrite").parquet(f"{refused_path}/{part}")
         finally:
             decided.unpersist()
+        if candidates_path is not None:
+            kept = ["kind", "dedupe_key", "quarantine_id", "request_id", "writer_id", "target_bank", "reason", "payload", at]
+            rows = [quarantine_candidates(f, kind, at).select(*kept)
+                    for f, kind in ((writes, "retain_request"), (reads, "recall_request"))]
+            rows[0].unionByName(rows[1]).write.mode("overwrite").parquet(f"{candidates_path}/{part}")
 
     return (
         requests.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_days: int = 30,
-                      at: Column | None = None) -> StreamingQuery:
+                      at: Column | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Merge each micro-batch into the item table. Batch n reads version n and writes n + 1, and
-    its events go to a folder of their own, so a replay repeats instead of adding. Expiry is judged
-    at `at`, or at the latest time in the batch."""
+    its events and conflicts go to folders of their own, so a replay repeats instead of adding. Expiry is
+    judged at `at`, or at the latest time in the batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -160,10 +173,11 @@ def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_day
         merged = merge_candidates(items, batch, moment, f"stream-{batch_id}", ttl_days)
         save_items(merged.items, f"{root}/items/version={batch_id + 1:012d}")
         merged.events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id:012d}")
+        merged.conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch_id:012d}")
 
     return (
         candidates.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -8,11 +8,12 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from memgov.session import build_session
+    from memgov.session import build_session, clear_scratch
 
     session = build_session("local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
