@@ -1,10 +1,11 @@
 """Exact order-dependent decisions over tables too large for one task.
 
-Rows are range-partitioned by (key, time, id) into blocks of bounded size and each block is folded
-on its own. What a block needs from its predecessor is a small bounded state (for a quota: the
-admitted times of the last window). Blocks first run without it; then only blocks whose
-predecessor left a state they have not seen run again, until nothing changes. Every state is
-then the one a single ordered pass would give. A key may span any number of blocks.
+Rows are range-partitioned by (key, time, id) into blocks and each block is folded on its own. What a block
+needs from its predecessor is a small bounded state (for a quota: the admitted times of the last window),
+and only if it goes on with the same key within the fold's reach. Blocks first run without it. Then, of each
+chain of blocks that depend on each other, the first that ran with another state than its predecessor
+leaves runs again: its predecessor is final, so no block runs more than twice. A key may span any number
+of blocks; after a quiet stretch longer than the reach a new chain begins.
 """
 
 from __future__ import annotations
@@ -13,78 +14,73 @@ import json
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memgov.session import cut_lineage, new_scratch
 
 ROWS_PER_BLOCK = 500_000
+# A key as text that sorts alike in Spark and pandas; null is a key of its own.
+_KEY = "_fold_key"
 
 
-def _pass(fold, pdf, sort, key, state_key, state_json):
-    """Fold one sorted block. Returns verdicts, first key, last key and the state left."""
+def _pass(fold, pdf, sort, start_key, state_json):
+    """Fold one sorted block. Returns the sorted rows, verdicts and the state left."""
     pdf = pdf.sort_values(sort, kind="stable")
     columns = [pdf[c].tolist() for c in (*sort[-2:], *fold.columns)]
-    keys = pdf[key].tolist() if key else [""] * len(pdf)
     current, state, verdicts = None, None, []
-    for k, *row in zip(keys, *columns):
+    for k, *row in zip(pdf[_KEY].tolist(), *columns, strict=True):
         if state is None or k != current:
-            fresh = state is not None or state_json is None or state_key != k
+            fresh = state is not None or state_json is None or start_key != k
             state = fold.start() if fresh else fold.load(state_json)
             current = k
         verdicts.append(fold.feed(state, *row))
-    left = fold.dump(state, columns[0][-1]) if verdicts else None
-    return pdf, verdicts, keys[0] if keys else None, current, left
+    return pdf, verdicts, fold.dump(state, columns[0][-1])
 
 
 def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
                  order: tuple[str, str] = ("ts_ms", "request_id"),
                  rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(order columns, verdict) of every row, decided in (key, time, id) order."""
-    sort = [*([key] if key else []), *order]
-    narrow = rows.select(*dict.fromkeys([*sort, *fold.columns]))
-    staged = cut_lineage(narrow, "fold")
-    blocks = max(1, -(-staged.count() // rows_per_block))
-    types = dict(staged.dtypes)
-    out = ", ".join(f"`{c}` {types[c]}" for c in order) + f", verdict {verdict}"
-
-    if blocks == 1:
-        def whole(_, pdf):
-            pdf, verdicts, *_rest = _pass(fold, pdf, sort, key, None, None)
-            return pdf[list(order)].assign(verdict=pd.Series(verdicts, index=pdf.index, dtype=object))
+    verdicts, _ = fold_with_runs(rows, fold, verdict, key, order, rows_per_block)
+    return verdicts
 
-        return staged.groupBy(F.lit(0).alias("_block")).applyInPandas(whole, out)
 
+def fold_with_runs(rows: DataFrame, fold, verdict: str, key: str | None = None,
+                   order: tuple[str, str] = ("ts_ms", "request_id"),
+                   rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """The same, and what each round of block runs left."""
     spark = rows.sparkSession
+    own = F.lit("k") if key is None else F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    sort = [_KEY, *order]
+    narrow = rows.withColumn(_KEY, own).select(*dict.fromkeys([*order, *fold.columns, _KEY]))
+    blocks = max(1, -(-rows.count() // rows_per_block))
+    types = dict(narrow.dtypes)
+    out = ", ".join(f"`{c}` {types[c]}" for c in order) + f", verdict {verdict}"
     path = new_scratch(spark, "fold-blocks")
-    ranged = staged.repartitionByRange(blocks, *sort).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path)
+    (narrow.repartitionByRange(blocks, *sort).withColumn("_block", F.spark_partition_id().cast("long"))
+     .write.parquet(path))
     ranged = spark.read.parquet(path)
-    # Number the blocks that hold rows; this table has one row per block.
-    from pyspark.sql import Window
-
-    numbers = cut_lineage(ranged.select("_part").distinct().withColumn(
-        "_block", F.row_number().over(Window.orderBy("_part")).cast("long")), "fold-numbers")
-    ranged = ranged.join(F.broadcast(numbers), "_part").drop("_part")
-    # Each run of a block leaves its verdicts and one row (last = true) with what it was given and
-    # what it hands on.
-    fields = out + (", _block long, last boolean, first_key string, out_key string, out_state string, "
-                    "used string")
-    names = [*order, "verdict", "_block", "last", "first_key", "out_key", "out_state", "used"]
+    # A run leaves a block's verdicts and one row (last = true) with its ends, what it was given and what
+    # it hands on.
+    fields = out + (", _block long, last boolean, first_key string, first_at long, out_key string, out_at long,"
+                    " out_state string, used string")
+    names = [*order, "verdict", "_block", "last", "first_key", "first_at", "out_key", "out_at", "out_state", "used"]
 
     def fold_block(_, pdf, given):
         if not len(pdf):
             return pd.DataFrame(columns=names)
         used = given["wanted"].iloc[0]
-        start = pdf.sort_values(sort)[key].iloc[0] if key else ""
-        block = pdf["_block"].iloc[0]
-        pdf, verdicts, first, last, left = _pass(fold, pdf, sort, key, start, used)
-        rows = pdf[list(order)].assign(
-            verdict=pd.Series(verdicts, index=pdf.index, dtype=object), _block=block, last=False,
-            first_key=None, out_key=None, out_state=None, used=None)
-        end = rows.iloc[[-1]].assign(
-            verdict=None, last=True, first_key=str(first), out_key=str(last), out_state=left, used=used)
-        return pd.concat([rows, end])[names]
+        used = None if pd.isna(used) else used
+        start = pdf.sort_values(sort)[_KEY].iloc[0]
+        pdf, verdicts, left = _pass(fold, pdf, sort, start, used)
+        done = pdf[list(order)].assign(
+            verdict=pd.Series(verdicts, index=pdf.index, dtype=object), _block=pdf["_block"].iloc[0], last=False,
+            first_key=None, first_at=None, out_key=None, out_at=None, out_state=None, used=None)
+        end = done.iloc[[-1]].assign(
+            verdict=None, last=True, first_key=start, first_at=int(pdf[order[0]].iloc[0]), out_key=pdf[_KEY].iloc[-1],
+            out_at=int(pdf[order[0]].iloc[-1]), out_state=left, used=used)
+        return pd.concat([done, end])[names]
 
     def run(targets):
         """Fold the blocks named in `targets` (_block, wanted)."""
@@ -93,25 +89,29 @@ def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
         folded = chosen.groupBy("_block").cogroup(given.groupBy("_b")).applyInPandas(fold_block, fields)
         return cut_lineage(folded, "fold-run")
 
-    runs = [run(numbers.select("_block", F.lit(None).cast("string").alias("wanted")))]
-
     def ends_of(number):
         """One row per block of a run; a small table next to the verdicts."""
-        handed = runs[number].filter("last").select("_block", "first_key", "out_key", "out_state", "used")
+        handed = runs[number].filter("last").select("_block", *names[5:])
         return handed.withColumn("_run", F.lit(number))
 
+    runs = [run(ranged.select("_block").distinct().withColumn("wanted", F.lit(None).cast("string")))]
     ends = cut_lineage(ends_of(0), "fold-ends")
+    # From here on one row per block: the only orderings over all data.
+    in_order = Window.orderBy("_block")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = getattr(fold, "reach", None)
+    near = F.lit(True) if reach is None else F.col("first_at") - F.lag("out_at").over(in_order) < reach
     while True:
-        before = ends.select((F.col("_block") + 1).alias("_block"), F.col("out_key").alias("_k"),
-                             F.col("out_state").alias("_s"))
-        wanted = ends.select("_block", "first_key", "used").join(before, "_block", "left").withColumn(
-            "wanted", F.when(F.col("_k") == F.col("first_key"), F.col("_s")))
-        stale = wanted.filter(~F.col("wanted").eqNullSafe(F.col("used"))).select("_block", "wanted")
-        stale = cut_lineage(stale, "fold-stale")
-        if stale.isEmpty():
+        goes_on = F.coalesce((F.lag("out_key").over(in_order) == F.col("first_key")) & near, F.lit(False))
+        chained = ends.withColumns({"_on": goes_on, "wanted": F.when(goes_on, F.lag("out_state").over(in_order))})
+        chained = chained.withColumn("_chain", F.sum((~F.col("_on")).cast("long")).over(so_far))
+        stale = chained.filter(~F.col("wanted").eqNullSafe(F.col("used")))
+        first = stale.groupBy("_chain").agg(F.min_by(F.struct("_block", "wanted"), "_block").alias("b"))
+        again = cut_lineage(first.select("b._block", "b.wanted"), "fold-again")
+        if again.isEmpty():
             break
-        runs.append(run(stale))
-        settled = ends.join(stale.select("_block"), "_block", "left_anti")
+        runs.append(run(again))
+        settled = ends.join(again.select("_block"), "_block", "left_anti")
         ends = cut_lineage(settled.unionByName(ends_of(len(runs) - 1)), "fold-ends")
     # A block's verdicts are those of its latest run.
     verdicts = None
@@ -119,7 +119,7 @@ def ordered_fold(rows: DataFrame, fold, verdict: str, key: str | None = None,
         current = ends.filter(F.col("_run") == number).select("_block")
         part = done.filter(~F.col("last")).join(current, "_block", "left_semi").select(*order, "verdict")
         verdicts = part if verdicts is None else verdicts.unionByName(part)
-    return verdicts
+    return verdicts, runs
 
 
 # --- folds. A state that holds nothing any more is dumped as None. ------------------------------------
@@ -132,6 +132,7 @@ class KeyedQuota:
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window = limit, window_ms
+        self.reach = window_ms
 
     def start(self):
         return deque()
@@ -159,6 +160,7 @@ class SharedQuota:
 
     def __init__(self, per_writer: int, overall: int, window_ms: int):
         self.per_writer, self.overall, self.window = per_writer, overall, window_ms
+        self.reach = window_ms
 
     def start(self):
         return {"line": deque(), "by": {}}
@@ -198,6 +200,7 @@ class DistinctQuota:
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window = limit, window_ms
+        self.reach = window_ms
 
     def start(self):
         return {}

@@ -79,6 +79,49 @@ def stream_gate(spark, d):
     return allowed.unionByName(refused).select("request_id", F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
+def _merged_stream(spark, d) -> str:
+    """The evidence of line items merged in micro-batches, one file of it each, in the order of time."""
+    root = new_scratch(spark, "stream-quarantine")
+    save_items(inputs.items(spark, d), f"{root}/items/version={0:012d}")
+    candidates = _evidence(spark, d)
+    _in_turns([candidates.filter(F.year("at").between(a, b)) for a, b in ((0, 1996), (1997, 1998), (1999, 9999))], f"{root}/candidates")
+    stream = spark.readStream.schema(candidates.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/candidates")
+    gate.stream_quarantine(stream, root, f"{root}/checkpoint", at=inputs.at()).awaitTermination()
+    return root
+
+
+def _in_turns(frames, path: str) -> None:
+    """One file per frame, each written after the one before."""
+    for frame in frames:
+        frame.repartition(1).write.mode("append").parquet(path)
+
+
+@query("stream_conflicts", f"""
+WITH {_EVIDENCE_SQL} SELECT old_id AS quarantine_id, n::BIGINT AS n,
+  CASE WHEN action = 'conflict_request' THEN 'quarantine_request_in_review' ELSE 'quarantine_item_in_review' END AS code
+FROM acts WHERE action LIKE 'conflict%'""")
+def stream_conflicts(spark, d):
+    """What the merged stream could not merge, over all micro-batches."""
+    rows = spark.read.parquet(f"{_merged_stream(spark, d)}/conflicts")
+    return rows.groupBy("quarantine_id", "code").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("stream_late_rows", """
+WITH edges AS (SELECT g, max(max(ts)) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT ts, event_id % 3 AS g FROM events) GROUP BY g)
+SELECT event_id, coalesce(ts < seen - INTERVAL 10 DAY, false) AS late FROM events JOIN edges ON event_id % 3 = g""")
+def stream_late_rows(spark, d):
+    """Events arriving in three parts that overlap in time; those ten days behind are set aside."""
+    root = new_scratch(spark, "stream-late")
+    events = inputs.table(spark, d, "events").select("event_id", "ts")
+    _in_turns([events.filter(F.col("event_id") % 3 == k) for k in range(3)], f"{root}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    gate.stream_on_time(stream, "ts", 10 * 24 * 3600, root, f"{root}/checkpoint").awaitTermination()
+    sides = [spark.read.schema("event_id long, ts timestamp").parquet(f"{root}/{side}").select("event_id", F.lit(side == "late").alias("late"))
+             for side in ("on_time", "late")]
+    return sides[0].unionByName(sides[1])
+
+
 @query("stream_quarantine", f"""
 WITH {_EVIDENCE_SQL}
 SELECT status, count(*) AS items, sum(requarantine_count)::BIGINT AS repeats FROM (
@@ -89,14 +132,9 @@ SELECT status, count(*) AS items, sum(requarantine_count)::BIGINT AS repeats FRO
     (SELECT l_orderkey FROM acts WHERE returned AND action NOT LIKE 'conflict%')) GROUP BY ALL""")
 def stream_quarantine(spark, d):
     """Evidence merged into the item table batch by batch, replays being harmless."""
-    root = new_scratch(spark, "stream-quarantine")
-    save_items(inputs.items(spark, d), f"{root}/items/version={0:012d}")
-    source = f"{root}/candidates"
-    candidates = _evidence(spark, d)
-    candidates.write.parquet(source)
-    stream = spark.readStream.schema(candidates.schema).parquet(source)
-    gate.stream_quarantine(stream, root, f"{root}/checkpoint", at=inputs.at()).awaitTermination()
-    final = spark.read.schema(ITEM_SCHEMA).parquet(f"{root}/items/version={1:012d}")
+    root = _merged_stream(spark, d)
+    latest = spark.read.parquet(f"{root}/items").agg(F.max("version")).first()[0]
+    final = spark.read.schema(ITEM_SCHEMA).parquet(f"{root}/items/version={latest:012d}")
     return final.groupBy("status").agg(F.count("*").alias("items"), F.sum("requarantine_count").alias("repeats"))
 
 

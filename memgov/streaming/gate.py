@@ -181,6 +181,34 @@ def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_day
     )
 
 
+def stream_on_time(rows: DataFrame, time: str, delay_seconds: int, root: str, checkpoint: str,
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Rows in time and late rows of a stream, in the folders on_time and late. A row is late if its time lies
+    more than the delay before the latest time of earlier micro-batches; that edge is kept per batch next to
+    them, so that a replayed batch splits as it did before."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, part = batch.sparkSession, f"batch={batch_id:012d}"
+        seen = spark.createDataFrame([], "batch long, latest timestamp")
+        if batch_id:
+            seen = spark.read.parquet(f"{root}/seen").select("batch", "latest")
+        latest = seen.filter(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        batch = batch.persist()
+        try:
+            on_time, late = split_late(batch, time, F.lit(latest).cast("timestamp"), delay_seconds)
+            on_time.write.mode("overwrite").parquet(f"{root}/on_time/{part}")
+            late.write.mode("overwrite").parquet(f"{root}/late/{part}")
+            (batch.agg(F.max(time).cast("timestamp").alias("latest"))
+             .write.mode("overwrite").parquet(f"{root}/seen/{part}"))
+        finally:
+            batch.unpersist()
+
+    return (
+        rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def run_maintenance(items: DataFrame, events: DataFrame, at: Column, batch_id: str,
                     stale_seconds: int = 60, retention_days: int = 90) -> Reviewed:
     """Recover abandoned claims, sweep expired items, prune old events: the periodic job."""

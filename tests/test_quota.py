@@ -218,3 +218,26 @@ def test_evidence_equals_one_by_one(spark, seed):
     want = admit_one_by_one(rows, limits)
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
     assert len(set(got.values())) >= 3
+
+
+@pytest.mark.parametrize("kind", ["quota", "throttle"])
+def test_blocks_with_null_and_hot_keys(spark, kind):
+    """A third of the rows has one key, some have none; blocks are folded at most twice."""
+    rows = [(f"{i:05d}", None if i % 7 == 0 else "hot" if i % 3 == 0 else f"w{i % 11}", 10 * i + (5_000 if i > 300 else 0), False)
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "request_id string, writer_id string, ts_ms long, exempt boolean")
+    fold = folds.KeyedQuota(3, 400) if kind == "quota" else folds.Throttle(300)
+    verdicts, runs = folds.fold_with_runs(df, fold, "boolean" if kind == "quota" else "long", "writer_id", rows_per_block=40)
+    blocks, folded = runs[0].filter("last").count(), sum(r.filter("last").count() for r in runs)
+    assert blocks >= 8 and folded <= 2 * blocks
+    want, states = {}, {}
+    for request_id, writer, ts, exempt in sorted(rows, key=lambda r: (r[2], r[0])):
+        state = states.setdefault(writer, fold.start())
+        want[request_id] = fold.feed(state, ts, request_id, *([exempt] if kind == "throttle" else []))
+    assert {r["request_id"]: r["verdict"] for r in verdicts.collect()} == want
+
+
+def test_quiet_stretches_begin_new_chains(spark):
+    df = spark.createDataFrame([(f"{i:04d}", "w", 1_000 * i) for i in range(200)], "request_id string, writer_id string, ts_ms long")
+    _, runs = folds.fold_with_runs(df, folds.KeyedQuota(1, 500), "boolean", "writer_id", rows_per_block=20)
+    assert len(runs) == 1
