@@ -28,7 +28,7 @@ SCALE = 64
 SHARD = 8192  # vectors in a tree, about
 PIVOTS = 1024  # at most; crowded pivots are split
 SAMPLE = 2048  # vectors that give queries their first bound, at most
-LEAF = 256
+LEAF = 512
 FAN = 16
 BLOCK = 256  # queries searched together, about
 BATCH_ROWS = 4  # a row holds a whole tree and a block of queries
@@ -63,6 +63,7 @@ class MTree:
         self.lift = np.sqrt(np.maximum(longest - (self.real ** 2).sum(1), 0))
         if built:
             self.__dict__.update(built)
+            self.settle()
             return
         self.order, self.entry_distance = [], []
         self.routing, self.radius, self.above, self.first, self.last, self.leaf = [], [], [], [], [], []
@@ -96,6 +97,7 @@ class MTree:
         self.order, self.entry_distance = np.concatenate(self.order), np.concatenate(self.entry_distance)
         for name in ("routing", "radius", "above", "first", "last", "leaf"):
             setattr(self, name, np.array(getattr(self, name)))
+        self.settle()
 
     def _distance(self, one: int, many: np.ndarray) -> np.ndarray:
         square = ((self.real[many] - self.real[one]) ** 2).sum(1) + (self.lift[many] - self.lift[one]) ** 2
@@ -131,21 +133,29 @@ class MTree:
         parts = unpack(data)
         return cls(parts.pop("vectors"), parts.pop("ids"), parts.pop("rows"), float(parts.pop("longest")), **parts)
 
+    def settle(self) -> None:
+        """Lay the entries out in the order of the leaves, in the narrowest type whose sums are exact."""
+        top = float(np.abs(self.vectors).max()) if self.vectors.size else 0.0
+        whole = top * top * self.vectors.shape[1]
+        kind = np.float32 if whole < 2.0 ** 24 else np.float64 if whole < _EXACT else np.int64
+        self.entries, self.largest = self.vectors[self.order].astype(kind), top
+        self.entry_ids, self.entry_rows = self.ids[self.order], self.rows[self.order]
+        self.centres = self.real[self.routing]
+
     def search(self, query: np.ndarray, own_row: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the best k entries with a score of `bound` or more, the query's own row left out."""
         real = query.astype(float)
         level = float(real @ real) + self.longest  # squared distance = level - 2 * inner product
         slack = 1e-9 * (level + 1)
+        exact = float(np.abs(query).max(initial=0)) <= self.largest
+        own, entries = (query.astype(self.entries.dtype), self.entries) if exact else (query, self.entries.astype(np.int64))
         scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def reach(lower):
             """The largest score at a distance of `lower` or more."""
             return (level - np.maximum(lower, 0) ** 2) / 2 + slack
 
-        def distance(entries):
-            return np.sqrt(np.maximum(level - 2 * (self.real[entries] @ real), 0))
-
-        away = float(distance(self.routing[:1])[0])
+        away = math.sqrt(max(level - 2 * float(self.centres[0] @ real), 0))
         queue = [(-float(reach(away - self.radius[0])), 0, away)]
         while queue:
             best, node, away = heapq.heappop(queue)
@@ -153,15 +163,15 @@ class MTree:
                 break
             first, last = self.first[node], self.last[node]
             if self.leaf[node]:
-                here = self.order[first:last]
-                here = here[reach(np.abs(away - self.entry_distance[first:last])) >= bound]
-                here = here[self.rows[here] != own_row]
-                if not len(here):
+                hope = reach(np.abs(away - self.entry_distance[first:last])) >= bound
+                here = np.arange(first, last)[hope] if not hope.all() else slice(first, last)
+                got = entries[here] @ own
+                keep = np.flatnonzero(got >= bound)
+                if not len(keep):
                     continue
-                got = products(query[None], self.vectors[here])[0]
-                keep = got >= bound
-                scores = np.concatenate([scores, got[keep]])
-                ids = np.concatenate([ids, self.ids[here[keep]]])
+                keep = keep[self.entry_rows[here][keep] != own_row]
+                scores = np.concatenate([scores, got[keep].astype(np.int64)])
+                ids = np.concatenate([ids, self.entry_ids[here][keep]])
                 if len(scores) > k:
                     top = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[top], ids[top]
@@ -169,13 +179,13 @@ class MTree:
                     bound = max(bound, float(scores.min()))
             else:
                 children = np.arange(first, last)
-                children = children[reach(np.abs(away - self.above[children]) - self.radius[children]) >= bound]
+                children = children[reach(np.abs(away - self.above[first:last]) - self.radius[first:last]) >= bound]
                 if not len(children):
                     continue
-                each = distance(self.routing[children])
-                for child, own, hope in zip(children.tolist(), each.tolist(), reach(each - self.radius[children]).tolist(), strict=True):
+                each = np.sqrt(np.maximum(level - 2 * (self.centres[children] @ real), 0))
+                for child, far, hope in zip(children.tolist(), each.tolist(), reach(each - self.radius[children]).tolist(), strict=True):
                     if hope >= bound:
-                        heapq.heappush(queue, (-hope, child, own))
+                        heapq.heappush(queue, (-hope, child, far))
         return scores, ids
 
 
