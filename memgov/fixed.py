@@ -92,11 +92,11 @@ SCAN_WINDOWS = 128
 WINDOW_BYTES = 65536
 ENCODED_SPANS = 8
 ENCODED_BYTES = 16384
-SPLIT_CANDIDATES = 64
 SPLIT_FRAGMENTS = 256
 SPLIT_SKIPS = 2
 SPLIT_CANDIDATE_BYTES = 21848
-SPLIT_WORK_BYTES = 524288
+# Our own: bytes of candidates put together from one unit's fragments. Past it the unit is refused.
+SPLIT_WORK_BYTES = 4_194_304
 
 # --- fixed values: closed sets --------------------------------------------------------------
 REQUEST_KINDS = ("retain_request", "recall_request")

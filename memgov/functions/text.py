@@ -155,29 +155,42 @@ def byte_suffix(text: Column, limit: int) -> Column:
     )
 
 
+def _escapes() -> dict[int, str]:
+    """How reviewers see each character that they could not see."""
+    spans = ((0x00, 0x1F), (0x7F, 0x9F), (0x200B, 0x200D), (0x2060, 0x2060), (0xFE00, 0xFE0F), (0xE0000, 0xE007F))
+    shown = {c: f"\\u{c:04X}" if c < 0x10000 else f"\\u{{{c:X}}}" for first, last in spans for c in range(first, last + 1)}
+    return shown | {ord(c): repr(c)[1:-1] for c in "\n\r\t"}
+
+
+_SHOWN = _escapes()
+
+
 @F.arrow_udf(T.StringType())
 def _escape_marks(texts: pa.Array) -> pa.Array:
-    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    invisible = {0x200B, 0x200C, 0x200D, 0x2060}
-
-    def shown(ch: str) -> str:
-        cp = ord(ch)
-        hidden = (
-            cp < 0x20
-            or 0x7F <= cp <= 0x9F
-            or cp in invisible
-            or 0xFE00 <= cp <= 0xFE0F
-            or 0xE0000 <= cp <= 0xE007F
-        )
-        if not hidden:
-            return ch
-        if ch in named:
-            return named[ch]
-        return f"\\u{cp:04X}" if cp <= 0xFFFF else f"\\u{{{cp:X}}}"
+    return pa.array([None if t is None else t.translate(_SHOWN) for t in texts.to_pylist()], pa.string())
 
-    return pa.array(
-        [None if t is None else "".join(map(shown, t)) for t in texts.to_pylist()], pa.string()
-    )
+
+@F.arrow_udf(T.StringType())
+def escape_json_for_review(bodies: pa.Array) -> pa.Array:
+    """The same for every string and key of a JSON value, however deep; null where the text is no JSON."""
+    import json
+
+    def shown(value):
+        if isinstance(value, str):
+            return value.translate(_SHOWN)
+        if isinstance(value, list):
+            return [shown(v) for v in value]
+        if isinstance(value, dict):
+            return {k.translate(_SHOWN): shown(v) for k, v in value.items()}
+        return value
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(shown(json.loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([one(t) for t in bodies.to_pylist()], pa.string())
 
 
 def escape_for_review(text: Column) -> Column:

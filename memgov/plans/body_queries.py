@@ -11,41 +11,45 @@ from memgov.plans.catalog import query
 from memgov.sources.requests import checked_bodies
 from memgov.sources.registry import read_bank_rows, registry_errors
 
-# (body template around a JSON string ~, message): write requests
-RETAIN = (
-    ('{"items":[{"content":~}]}', None),
-    ('{"items":[{"content":~,"context":null,"tags":["a"],"metadata":{"k":"v"}}],"async":true,"more":{"x":1.5}}', None),
-    ('[~]', "retain body must be an object"),
-    ('{"items":[],"note":~}', "retain body requires at least one memory item"),
-    ('{"items":~}', "retain body requires at least one memory item"),
-    ('{"items":[{"content":~},~]}', "memory item 1 must be an object"),
-    ('{"items":[{"context":~}]}', "memory item 0 content must be a non-empty string"),
-    ('{"items":[{"content":~},{"content":" \\t"}]}', "memory item 1 content must be a non-empty string"),
-    ('{"items":[{"content":~,"context":1}]}', "context must be a string or null"),
-    ('{"items":[{"content":~,"document_id":[]}]}', "document_id must be a string or null"),
-    ('{"items":[{"content":~,"timestamp":false}]}', "timestamp must be a string or null"),
-    ('{"items":[{"content":~,"tags":[~,1]}]}', "tags must contain strings"),
-    ('{"items":[{"content":~,"metadata":{"k":2}}]}', "metadata must map strings to strings"),
-    ('{"items":[{"content":~,"update_mode":"merge"}]}', "update_mode must be replace or append"),
-    ('{"items":[{"content":~}],"async":null}', "async must be a boolean"),
-    ('{"items":[{"content":~}],"document_tags":null}', "document_tags must contain strings"),
-    ('{"items":[{"content":~}],"n":9007199254740993}', "retain body contains an unsupported JSON value"),
+# JSON texts by kind, around a JSON string ~.
+KINDS = {"string": "~", "null": "null", "boolean": "true", "integer": "7", "decimal": "0.25", "strings": "[~]", "mixed": "[~,3]",
+         "object": '{"of":"~~"}'.replace('"~~"', "~"), "numbers": '{"of":4}'}
+# Fields with the kinds they may hold and what is said otherwise.
+ITEM_FIELDS = (
+    ("tags", ("strings", "null"), "tags must contain strings"), ("metadata", ("object", "null"), "metadata must map strings to strings"),
+    ("timestamp", ("string", "null"), "timestamp must be a string or null"), ("context", ("string", "null"), "context must be a string or null"),
+    ("document_id", ("string", "null"), "document_id must be a string or null"),
 )
-RECALL = (
-    ('{"query":~}', None),
-    ('{"query":~,"types":null,"tags":["x"],"budget":"mid","max_tokens":9,"trace":true}', None),
-    ('{"q":~}', "recall query must be a non-empty string"),
-    ('{"query":~,"max_tokens":0}', "max_tokens must be a positive integer"),
-    ('{"query":~,"max_tokens":2.5}', "max_tokens must be a positive integer"),
-    ('{"query":~,"budget":"huge"}', "budget must be low, mid, or high"),
-    ('{"query":~,"types":[1]}', "types must contain strings"),
-    ('{"query":~,"tags":"x"}', "tags must contain strings"),
-    ('{"query":~,"tags_match":null}', "tags_match must be a string"),
-    ('{"query":~,"trace":1}', "trace must be a boolean"),
-    ('~', "recall body must be an object"),
+BODY_FIELDS = (("document_tags", ("strings",), "document_tags must contain strings"), ("async", ("boolean",), "async must be a boolean"))
+QUERY_FIELDS = (
+    ("trace", ("boolean",), "trace must be a boolean"), ("tags", ("strings", "null"), "tags must contain strings"),
+    ("types", ("strings", "null"), "types must contain strings"), ("tags_match", ("string",), "tags_match must be a string"),
+    ("max_tokens", ("integer",), "max_tokens must be a positive integer"),
 )
 
 
+def cases_of(shape: str, fields) -> list[tuple[str, str | None]]:
+    """Every field with every kind: (body, message or None). `shape` holds the field at @."""
+    return [(shape.replace("@", f'"{name}":{text}'), None if kind in good else message)
+            for name, good, message in fields for kind, text in KINDS.items()]
+
+
+# (body around a JSON string ~, message)
+RETAIN = tuple(
+    cases_of('{"items":[{@,"content":~}]}', ITEM_FIELDS) + cases_of('{@,"items":[{"content":~,"more":1}]}', BODY_FIELDS)
+    + [(f'{{"items":[{{"content":~}},{text}]}}', "memory item 1 must be an object") for kind, text in KINDS.items() if kind not in ("object", "numbers")]
+    + [(f'{{"items":[{{"content":{text}}}]}}', None if kind == "string" else "memory item 0 content must be a non-empty string") for kind, text in KINDS.items()]
+    + [(text, "retain body must be an object") for kind, text in KINDS.items() if kind not in ("object", "numbers")]
+    + [(f'{{"items":{text}}}', "retain body requires at least one memory item") for text in ("[]", "null", "~")]
+    + [('{"items":[{"content":~,"update_mode":"sometimes"}]}', "update_mode must be replace or append"),
+       ('{"at":-9007199254740992,"items":[{"content":~}]}', "retain body contains an unsupported JSON value")])
+RECALL = tuple(
+    cases_of('{@,"query":~}', QUERY_FIELDS) + [('{"query":~,"budget":"lots"}', "budget must be low, mid, or high"), ('{"budget":"high","query":~}', None),
+                                               ('{"max_tokens":-1,"query":~}', "max_tokens must be a positive integer")]
+    + [(f'{{"query":{text}}}', None if kind == "string" else "recall query must be a non-empty string") for kind, text in KINDS.items()]
+    + [(text, "recall body must be an object") for kind, text in KINDS.items() if kind not in ("object", "numbers")])
+
+
 def _bodies(spark, d, cases):
     turns = inputs.table(spark, d, "conversations")
     n = F.col("conv_id") * 8 + F.col("turn")

@@ -253,7 +253,22 @@ def first_finding_documents(spark, d):
     return routing.distinct_first(rows, ["source", "found"], ["doc_id"])
 
 
-@query("split_base64_turns")
+@query("review_escape_nested", """
+SELECT doc_id, sha256(replace(text, chr(10), '\\n')) AS value_sha256, sha256(replace(text, chr(10), '\\n')) AS key_sha256 FROM documents""")
+def review_escape_nested(spark, d):
+    """Keys and values inside a JSON value are escaped like plain text."""
+    from memgov.functions.text import escape_json_for_review
+
+    docs = inputs.table(spark, d, "documents")
+    body = F.to_json(F.struct(F.create_map(F.col("text"), F.array(F.struct(F.col("text").alias("deep")))).alias("top")))
+    shown = docs.select("doc_id", body.alias("body")).withColumn("shown", escape_json_for_review("body"))
+    parsed = shown.select("doc_id", F.from_json("shown", "top map<string,array<struct<deep:string>>>").alias("j"))
+    back = F.col("j.top")
+    return parsed.select("doc_id", F.sha2(F.get(F.get(F.map_values(back), F.lit(0)), F.lit(0))["deep"], 256).alias("value_sha256"),
+                       F.sha2(F.get(F.map_keys(back), F.lit(0)), 256).alias("key_sha256"))
+
+
+@query("split_base64_turns", "SELECT true AS found, count(*) AS turns FROM conversations")
 def split_base64_turns(spark, d):
     """A payload cut in two around a decoy, hidden in every turn, is put together and decoded."""
     turns = inputs.table(spark, d, "conversations")
