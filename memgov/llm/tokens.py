@@ -12,9 +12,11 @@ import os
 import re
 from array import array
 
-from memgov.llm.bpe import CHUNKS
+from memgov.llm.bpe import CHUNKS, WHITE
 
-KEPT_PARTS = 1 << 20
+KEPT_PARTS = 3 << 19
+# Texts of other characters, or with the start of a special token, are not folded beforehand.
+_UNFOLDED = re.compile("[İɐ-\U0010ffff]|<\\|")
 # Latin letters, then ASCII marks without the apostrophe, which may begin a piece of its own.
 _WORD_THEN_MARKS = re.compile(r"([\t\n\r ]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -27,10 +29,15 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = re.compile(CHUNKS)
+        # A vocabulary that drops white space and case gives the same ids for parts without them.
+        self.folds = self._ids(" \nÀb Cd") == self._ids("àb cd")
+        self.chunks = re.compile(rf"[^{WHITE}]+" if self.folds else CHUNKS)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _learn(self, missing: set[str]) -> None:
         if len(self.kept) + len(missing) > KEPT_PARTS:
             self.kept.clear()
@@ -52,6 +59,8 @@ class PartEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
+            if self.folds and not _UNFOLDED.search(text):
+                text = text.lower()
             chunks = self.chunks.findall(text)
             missing = set(chunks).difference(self.kept)
             if missing:
