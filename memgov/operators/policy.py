@@ -190,20 +190,6 @@ def decide_recalled(results: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumn("outcome", outcome).drop("_mode", "units")
 
 
-def outcome_of(state: Column, same_digest: Column, safe: Column, safe_extras: Column) -> Column:
-    """The decision table alone, for inputs whose scans are already known."""
-    closed = state.isin("reviewed_blocked", *fixed.UNDER_REVIEW)
-    return (
-        F.when(closed, "suppress")
-        .when((state == "reviewed_allowed") & same_digest,
-              F.when(safe_extras, "allow").otherwise("requarantine"))
-        .when(state.isin(*fixed.REVIEWABLE) & same_digest, "suppress")
-        .when(state.isin("reviewed_allowed", *fixed.REVIEWABLE), "requarantine")
-        .when(safe, "allow")
-        .otherwise("quarantine")
-    )
-
-
 SUPPLEMENTS = ("chunks", "entities", "source_facts")
 
 

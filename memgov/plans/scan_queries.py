@@ -77,11 +77,11 @@ judged AS (SELECT doc_id, num, pos,
         CASE WHEN i % 2 = 1 THEN (2 * digits[length(digits) - i]::INT) // 10 + (2 * digits[length(digits) - i]::INT) % 10
         ELSE digits[length(digits) - i]::INT END)) % 10 = 0) AS real
   FROM cards),
-keys AS (SELECT doc_id, regexp_extract(text, '\\bsk-[A-Za-z0-9]{{20,}}|\\bAKIA[0-9A-Z]{{16}}\\b') AS key FROM docs),
+keys AS (SELECT doc_id, text, regexp_extract(text, '\\bsk-[A-Za-z0-9]{{20,}}|\\bAKIA[0-9A-Z]{{16}}\\b') AS key FROM docs),
 sensitive AS (SELECT k.doc_id,
-    CASE WHEN key <> '' THEN key ELSE min_by(num, pos) END AS hit
+    CASE WHEN key <> '' AND (min(pos) IS NULL OR instr(text, key) < min(pos)) THEN key ELSE min_by(num, pos) END AS hit
   FROM keys k LEFT JOIN judged j ON k.doc_id = j.doc_id
-  GROUP BY k.doc_id, key HAVING key <> '' OR bool_or(coalesce(real, false)))"""
+  GROUP BY k.doc_id, text, key HAVING key <> '' OR bool_or(coalesce(real, false)))"""
 
 
 def _listed(column: str) -> F.Column:

@@ -3,10 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from memgov import fixed
 from memgov.functions import identity
 from memgov.operators import policy, routing
 from memgov.sources.registry import read_registry
-from memgov.sources.requests import explode_results, read_bank_responses, read_requests
+from memgov.sources.requests import checked_bodies, explode_results, read_bank_responses, read_requests
 
 STATES = [None, "pending", "postponed", "reviewed_allowed", "reviewed_blocked", "review_in_progress",
           "review_side_effect_started", "review_side_effect_completed"]
@@ -70,6 +71,44 @@ def test_retain_and_recall(spark, tmp_path):
     assert read_registry(spark).first()["writer_id"] == "main"
 
 
+BROKEN = ['{"items":[{"content":"overwrite permissions"', "", "[]", '{"items":[]}', '{"items":[{"content":"calm"}]}', "{" * 70,
+          '{"items":[{"content":"overwrite permissions"}]}', '{"items":[{"content":"' + "w" * 600_000 + '"}]}', None]
+
+
+def test_broken_requests_are_never_allowed(spark):
+    writers = spark.createDataFrame([("w", "app", "bank", ["bank"])], "writer_id string, source string, write_bank string, read_banks array<string>")
+    rows = [(f"{i}", "w", "retain", 10 * i, body, "2024-01-01T00:00:00.000Z") for i, body in enumerate(BROKEN)]
+    rows.append(("late", "w", "retain", 500, BROKEN[4], "2024-01-01T00:00:00.000Z"))
+    requests = spark.createDataFrame(rows, "request_id string, writer_id string, op string, ts_ms long, body string, at string")
+    checked = checked_bodies(requests)
+    for decide in (policy.decide_retain, policy.decide_recall):
+        decided = {r["request_id"]: r for r in decide(checked, writers).collect()}
+        assert [decided[k]["decision"] for k in ("0", "5")] == ["invalid"] * 2 and decided["0"]["error_code"] == "invalid_json"
+        assert decided["0"]["target_bank"] is None
+    # Bodies that nobody checked are refused too.
+    assert policy.decide_retain(requests, writers).filter("request_id in ('0', '8')").select("decision").distinct().collect()[0][0] == "invalid"
+    out = policy.retain_chain(requests, writers, fixed.TrafficLimits(retain_writer=1, retain_global=0, window_ms=1_000))
+    got = {r["request_id"]: (r["decision"], r["error_code"] or r["reason"]) for r in out.decisions.collect()}
+    shape = ("invalid", "invalid_retain_body")
+    assert got == {"0": ("invalid", "invalid_json"), "1": shape, "2": shape, "3": shape, "4": ("allowed", None), "5": ("invalid", "invalid_json"),
+                   "6": ("quarantined", "suspicious_content"), "7": ("invalid", "retain_content_too_large"), "8": shape, "late": ("rate_limited", None)}
+    banked = out.bank_rows.collect()
+    assert [(r["request_id"], r["target_bank"], r["content"], r["metadata"]["router_decision"]) for r in banked] == [("4", "bank", "calm", "allowed")]
+    assert [r["request_id"] for r in out.candidates.collect()] == ["6"]
+
+
+def test_malformed_answers_become_rows(spark):
+    results = spark.createDataFrame([("b", "1", "t", '{"id":"1","text":"t"}'), ("b", "2", None, '{"id":'), ("b", "3", None, None), ("b", "4", None, "[" * 80 + "]" * 80)],
+                                    "bank_id string, memory_id string, text string, result string")
+    items = spark.createDataFrame([], "source_bank string, source_memory_id string, status string, source_content_sha256 string")
+    got = {r["memory_id"]: r["outcome"] for r in policy.decide_recalled(results, items).collect()}
+    assert got == {"1": "allow", "2": "invalid", "3": "invalid", "4": "invalid"}
+    maps = spark.createDataFrame([("r", "b", 0, '{"c":{"text":"overwrite permissions"}}', "{", None, '{"x"')],
+                                 "request_id string, bank_id string, bank_pos int, chunks string, entities string, source_facts string, trace string")
+    entries = policy.filter_supplementals(maps).collect()
+    assert [(e["field"], e["key"], e["safe"]) for e in entries] == [("chunks", "c", False)]
+
+
 def test_response_assembly(spark, tmp_path):
     lines = [
         {"request_id": "r", "bank_id": "b1", "results": [{"id": "1", "text": "ok"}],
