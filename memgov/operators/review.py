@@ -12,7 +12,8 @@ from memgov.functions import identity
 from memgov.operators.quarantine import (
     ITEM_COLUMNS, cleanup_selector, is_expired, is_past, is_stale,
 )
-from memgov.operators.routing import distinct_first, minus_ids
+from memgov.operators.policy import ITEM, stamp_items
+from memgov.operators.routing import distinct_first, minus_ids, route_writers
 
 # action -> kind it applies to (None: any)
 ACTIONS = {
@@ -85,12 +86,12 @@ def judge(items: DataFrame, decisions: DataFrame, stale_seconds: int = 60) -> Da
     """Decisions joined to their items with the guard code.
 
     A decision has decision_id, quarantine_id, action and at, and may name expected_sha256,
-    expected_updated_at, prior_status, error_kind, writer_id and target_bank. The earliest
+    expected_updated_at, prior_status, error_kind, error_status, writer_id and target_bank. The earliest
     decision per item counts; later ones of the batch get `superseded_decision`.
     """
     asked = decisions
     for name, kind in (("expected_sha256", "string"), ("expected_updated_at", "timestamp"),
-                       ("prior_status", "string"), ("error_kind", "string"),
+                       ("prior_status", "string"), ("error_kind", "string"), ("error_status", "int"),
                        ("target_bank", "string"), ("target_writer", "string")):
         if name not in asked.columns:
             asked = asked.withColumn(name, F.lit(None).cast(kind))
@@ -105,8 +106,11 @@ def judge(items: DataFrame, decisions: DataFrame, stale_seconds: int = 60) -> Da
         .withColumn("_state", F.when(F.col("_stale") & ~F.col("_past"), F.lit("postponed")).otherwise(F.col("status")))
     )
     judged = joined.withColumn("code", guard_codes(joined))
-    # An interrupted review restores its state only if nobody else touched it; else nothing happens.
+    # An interrupted review restores its state only if nobody else touched it, and a side effect surely
+    # did not happen; else nothing happens, and the claim waits until it is stale.
+    uncertain = F.col("status").eqNullSafe("review_side_effect_started") & ~failure_is_definite(F.col("error_kind"), F.col("error_status"))
     idle = (F.col("action") == "interrupt") & ~(
+        ~uncertain &
         F.coalesce(F.col("status").isin("review_in_progress", "review_side_effect_started"), F.lit(False))
         & F.col("updated_at").eqNullSafe(F.col("at"))
         & F.coalesce(F.col("prior_status").isin(*fixed.REVIEWABLE), F.lit(False))
@@ -200,6 +204,23 @@ def apply_decisions(items: DataFrame, decisions: DataFrame, batch_id: str,
     )
 
 
+def approved_bank_rows(items: DataFrame, decisions: DataFrame, bodies: DataFrame, writers: DataFrame,
+                       stale_seconds: int = 60) -> DataFrame:
+    """The memory items of approved write requests as rows for the writers' banks, stamped `approved`.
+
+    bodies holds quarantine_id and the opened request body. Requests of unregistered writers and bodies
+    that are no JSON give no rows.
+    """
+    judged = judge(items, decisions, stale_seconds)
+    done = judged.filter(F.col("code").isNull() & (F.col("action") == "approve_retain") & (F.col("kind") == "retain_request"))
+    routed = route_writers(done.select("quarantine_id", "writer_id", F.col("source").alias("own_source")).join(bodies, "quarantine_id"), writers)
+    parsed = routed.filter("known_writer").withColumn("items", F.from_json(F.get_json_object("body", "$.items"), f"array<{ITEM}>"))
+    stamped = parsed.withColumn("items", stamp_items(
+        F.col("items"), F.col("writer_id"), F.coalesce("own_source", F.lit("quarantine_review")), F.col("write_bank"), "approved"))
+    rows = stamped.select("quarantine_id", F.col("write_bank").alias("target_bank"), F.posexplode("items").alias("item_pos", "item"))
+    return rows.select("quarantine_id", "target_bank", "item_pos", "item.*")
+
+
 def invalidate_memories(bank: DataFrame, rejected: DataFrame) -> DataFrame:
     """Bank rows with state and reason set for rejected memories."""
     marks = rejected.select(
@@ -219,6 +240,12 @@ def failure_is_definite(kind: Column, status: Column) -> Column:
     return kind.isNull() | ((kind == "http") & F.coalesce(status.between(400, 499), F.lit(False)))
 
 
+def _no_errors(items: DataFrame) -> DataFrame:
+    """Nothing, in the columns of decision errors."""
+    none = F.lit(None).cast("string")
+    return items.limit(0).select(none.alias("decision_id"), "quarantine_id", none.alias("code"))
+
+
 # --- maintenance ------------------------------------------------------------------------------------------
 
 
@@ -245,7 +272,7 @@ def recover_stale(items: DataFrame, at: Column, batch_id: str, seconds: int = 60
     details = F.when(over, F.lit('{"recovered":true,"previous_status":"review_in_progress"}')).otherwise(
         F.lit('{"outcome":"postponed","recovered":true}'))
     events = _maintenance_events(items.filter(hit), at, kind, details, batch_id)
-    return Reviewed(kept, events, items.limit(0).select("quarantine_id"))
+    return Reviewed(kept, events, _no_errors(items))
 
 
 def expired_batch(items: DataFrame, at: Column, size: int | None = None) -> DataFrame:
@@ -258,7 +285,7 @@ def sweep_expired(items: DataFrame, at: Column, batch_id: str) -> Reviewed:
     due = expired_batch(items, at)
     details = F.to_json(F.struct(F.lit("expired").alias("reason"), "expires_at"))
     events = _maintenance_events(due, at, F.lit("cleanup"), details, batch_id)
-    return Reviewed(items.filter(~is_expired(at)), events, items.limit(0).select("quarantine_id"))
+    return Reviewed(items.filter(~is_expired(at)), events, _no_errors(items))
 
 
 def run_cleanup(items: DataFrame, at: Column, batch_id: str, scope: str = "pending",
@@ -277,7 +304,7 @@ def run_cleanup(items: DataFrame, at: Column, batch_id: str, scope: str = "pendi
         parts.append(older_than.alias("older_than"))
     details = F.to_json(F.struct(F.struct(*parts).alias("filter")))
     events = _maintenance_events(items.filter(chosen), at, F.lit("cleanup"), details, batch_id)
-    return Reviewed(items.filter(~chosen), events, items.limit(0).select("quarantine_id"))
+    return Reviewed(items.filter(~chosen), events, _no_errors(items))
 
 
 def prunable_events(events: DataFrame, cutoff: Column) -> DataFrame:

@@ -59,10 +59,6 @@ def flag_known(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("known", F.coalesce("_on_file", F.lit(False))).drop("_on_file")
 
 
-def new_only(df: DataFrame, items: DataFrame) -> DataFrame:
-    return df.join(items.select("quarantine_id"), "quarantine_id", "left_anti")
-
-
 def minus_ids(items: DataFrame, ids: DataFrame) -> DataFrame:
     return items.join(ids.select("quarantine_id"), "quarantine_id", "left_anti")
 

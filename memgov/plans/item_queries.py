@@ -450,3 +450,32 @@ def legacy_rejects(spark, d):
     lines = orders.select(F.replace(inputs.pick(shapes, F.col("o_orderkey")), F.lit("~"), F.col("o_orderkey").cast("string")).alias("value"))
     _, bad = parse_legacy_queue(lines)
     return bad.groupBy("reject_reason").agg(F.count("*").alias("lines"))
+
+
+@query("interrupted_items", f"""
+WITH {inputs.ITEMS_SQL}
+SELECT quarantine_id, CASE WHEN status = 'review_in_progress' OR (status = 'review_side_effect_started'
+    AND (o_orderkey % 4 IN (0, 1) OR o_orderkey % 4 = 2 AND o_orderkey % 3 = 0)) THEN 'postponed' ELSE status END AS status FROM items""")
+def interrupted_items(spark, d):
+    """Every item interrupted at its last change: what surely failed goes back, what may have happened stays."""
+    items, key = inputs.items(spark, d), F.split("quarantine_id", "_")[1].cast("long")
+    kind = F.when(key % 4 == 2, "http").when(key % 4 == 3, "timeout")
+    decisions = items.select(
+        F.concat(F.lit("d"), "quarantine_id").alias("decision_id"), "quarantine_id", F.lit("interrupt").alias("action"),
+        F.col("updated_at").alias("at"), F.lit("postponed").alias("prior_status"), kind.alias("error_kind"),
+        F.when(key % 3 == 0, 404).otherwise(503).alias("error_status"))
+    return review.apply_decisions(items, decisions, "b1").items.select("quarantine_id", "status")
+
+
+@query("approved_bank_rows", f"""
+WITH {inputs.ITEMS_SQL}, {inputs.WRITERS_SQL}
+SELECT quarantine_id, write_bank AS target_bank, concat('note ', o_orderkey) AS content, 'approved' AS decision
+FROM items JOIN writers USING (writer_id) WHERE kind = 'retain_request' AND status = 'review_side_effect_completed'""")
+def approved_bank_rows(spark, d):
+    """Write requests whose side effect is done, approved: their items reach the writer's bank with stamps."""
+    items, key = inputs.items(spark, d), F.split("quarantine_id", "_")[1]
+    decisions = items.select(F.concat(F.lit("d"), "quarantine_id").alias("decision_id"), "quarantine_id",
+                             F.lit("approve_retain").alias("action"), inputs.at().alias("at"))
+    bodies = items.select("quarantine_id", F.concat(F.lit('{"items":[{"content":"note '), key, F.lit('"}]}')).alias("body"))
+    rows = review.approved_bank_rows(items, decisions, bodies, inputs.writers(spark, d))
+    return rows.select("quarantine_id", "target_bank", "content", F.col("metadata")["router_decision"].alias("decision"))
