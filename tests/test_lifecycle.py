@@ -86,15 +86,15 @@ def test_merge(spark):
 
 def decide(spark, items, *rows):
     """(quarantine_id, action, minutes, extra)"""
-    base = dict(expected_sha256=None, expected_updated_at=None, prior_status=None, error_kind=None)
+    base = dict(expected_sha256=None, expected_updated_at=None, prior_status=None, error_kind=None, error_status=None)
     data = []
     for i, (qid, action, minutes, extra) in enumerate(rows):
         v = {**base, **extra}
         data.append((f"d{i}", qid, action, T0 + dt.timedelta(minutes=minutes), v["expected_sha256"],
-                     v["expected_updated_at"], v["prior_status"], v["error_kind"]))
+                     v["expected_updated_at"], v["prior_status"], v["error_kind"], v["error_status"]))
     df = spark.createDataFrame(
         data, "decision_id string, quarantine_id string, action string, at timestamp, expected_sha256 string, "
-        "expected_updated_at timestamp, prior_status string, error_kind string")
+        "expected_updated_at timestamp, prior_status string, error_kind string, error_status int")
     done = review.apply_decisions(items, df, "b")
     return ({r["quarantine_id"]: r for r in done.items.collect()},
             sorted((r["quarantine_id"], r["event_type"]) for r in done.events.collect()),
@@ -109,21 +109,23 @@ def test_review_actions(spark):
         item("d", "review_in_progress"), item("e", "review_in_progress", expires_at=past),
         item("f", kind=mem), item("g", "review_in_progress", mem), item("h", "review_side_effect_completed"),
         item("i", "review_side_effect_completed", mem), item("j", "reviewed_blocked", mem),
-        item("k", "review_side_effect_started"), item("l"), item("m", "review_side_effect_started"))
+        item("k", "review_side_effect_started"), item("l"), item("m", "review_side_effect_started"), item("n", "review_side_effect_started"))
     got, events, errors = decide(
         spark, items, ("a", "postpone", 1, {}), ("b", "postpone", 1, {}), ("c", "reject_request", 1, {}),
         ("d", "postpone", 5, {}), ("e", "reject_request", 5, {}),
         ("f", "claim_memory", 1, {"expected_sha256": "s-f"}), ("g", "approve_memory", 1, {"expected_updated_at": T0}),
         ("h", "approve_retain", 1, {"expected_sha256": "s-h"}), ("i", "reject_memory", 1, {}),
         ("j", "claim_memory", 1, {}), ("k", "effect_done", 1, {}), ("l", "claim_memory", 1, {"expected_sha256": "zzz"}),
-        ("m", "interrupt", 0, {"prior_status": "postponed", "error_kind": "http"}), ("zz", "postpone", 1, {}),
-        ("a", "reject_request", 2, {}))
+        ("m", "interrupt", 0, {"prior_status": "postponed", "error_kind": "http", "error_status": 404}), ("zz", "postpone", 1, {}),
+        ("a", "reject_request", 2, {}), ("n", "interrupt", 0, {"prior_status": "postponed", "error_kind": "http"}))
     assert got["a"]["status"] == "postponed" and got["a"]["postpone_count"] == 1
     assert got["d"]["status"] == "postponed" and "e" not in got and "h" not in got and "c" in got
     assert got["f"]["status"] == "review_in_progress" and got["f"]["encrypted_envelope"] == "{}"
     assert got["g"]["status"] == "reviewed_allowed" and got["g"]["encrypted_envelope"] is None
     assert got["g"]["encrypted_bytes"] == 0 and got["i"]["status"] == "reviewed_blocked"
     assert got["k"]["status"] == "review_side_effect_completed" and got["m"]["status"] == "postponed"
+    # Without a status nobody knows whether the side effect happened.
+    assert got["n"]["status"] == "review_side_effect_started"
     assert errors == {("d1", "postpone_limit_reached"), ("d2", "quarantine_expired"), ("d4", "quarantine_expired"),
                       ("d9", "quarantine_already_finalized"), ("d11", "quarantine_review_changed"),
                       ("d13", "quarantine_not_found"), ("d14", "superseded_decision")}
