@@ -199,6 +199,7 @@ def line_simhash(spark, texts):
 @pytest.mark.parametrize("part", [2, 7])
 def test_line_simhash(spark, monkeypatch, part):
     monkeypatch.setattr(lines, "SLICE", part)
+    monkeypatch.setattr(lines, "TURN", 20)
     texts = ["one two three", "a a b", "x", "p q", "w " * 300 + "z", " ".join(f"v{i}" for i in range(500))]
     got = line_simhash(spark, texts)
     for t in texts:
