@@ -29,6 +29,8 @@ from memgov.session import cut_lineage
 WINDOW = 2048
 END_ID = 1
 NNLS_STEPS = 300
+# Parts of texts kept per worker. Packing comes after stages that fill an executor's heap, so it keeps fewer.
+KEPT_PARTS = 1 << 19
 CUT = ("doc_id long, part int, doc_tokens long, full_crc array<long>, full_rank long, rest int,"
        " rest_rank long, rest_crc long, bit_crc array<long>")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
@@ -169,7 +171,7 @@ def cut_texts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
         from pyspark import TaskContext
 
         part, full_seen, rest_seen = TaskContext.get().partitionId(), 0, defaultdict(int)
-        own = encoder(path)
+        own = encoder(path, KEPT_PARTS)
         for batch in batches:
             cols = defaultdict(list)
             for coded in own.encode_batch(batch.column("text").to_pylist()):

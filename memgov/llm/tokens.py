@@ -22,7 +22,8 @@ _WORD_THEN_MARKS = re.compile(r"([\t\n\r ]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([
 
 
 class PartEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.keep = keep or KEPT_PARTS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,7 +40,7 @@ class PartEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.kept) + len(missing) > KEPT_PARTS:
+        if len(self.kept) + len(missing) > self.keep:
             self.kept.clear()
         kept, split, wanted = self.kept, {}, set()
         for chunk in missing:
@@ -65,14 +66,13 @@ class PartEncoder:
             missing = set(chunks).difference(self.kept)
             if missing:
                 self._learn(missing)
-                missing = set(chunks).difference(self.kept)
-                if missing:  # the table began anew meanwhile
-                    self._learn(missing)
+                if not all(map(self.kept.__contains__, chunks)):  # the table began anew meanwhile
+                    self._learn(set(chunks))
             out.append(b"".join(map(self.kept.__getitem__, chunks)))
         return out
 
 
-@functools.lru_cache(2)
-def encoder(path: str) -> PartEncoder:
+@functools.lru_cache(1)
+def encoder(path: str, keep: int | None = None) -> PartEncoder:
     """One encoder per worker process."""
-    return PartEncoder(path)
+    return PartEncoder(path, keep)
