@@ -277,3 +277,19 @@ def test_lines_of_nothing(docs_of):
 def test_native_plan(docs_of):
     plan = lines.line_report(docs_of([(1, "a\nb", None)]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprints_of_repeated_rows(docs_of):
+    rng = random.Random(21)
+    texts = [sentence(rng, n) for n in (9, 40, 120)]
+    rows = [(1, t, "en") for t in texts] + [(i, t, "en") for t in texts for i in [None] * 2 + [5] * 5]
+    found = lines.occurrences(docs_of(rows).coalesce(1)).select("h1", "fp").distinct()
+    assert found.count() == len(texts)
+
+
+def test_line_near_that_of_repeated_rows(docs_of):
+    rng = random.Random(22)
+    words = sentence(rng, 120).split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    rows = [(1, near, "en")] + [(2, " ".join(words), "en")] * 3
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(rows).coalesce(1)).collect()} == {1: near, 2: ""}
