@@ -293,3 +293,25 @@ def test_line_near_that_of_repeated_rows(docs_of):
     near = " ".join(words[:60] + ["changed"] + words[61:])
     rows = [(1, near, "en")] + [(2, " ".join(words), "en")] * 3
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(rows).coalesce(1)).collect()} == {1: near, 2: ""}
+
+
+def test_near_lines_are_found_whatever_their_bits(docs_of):
+    """Links against brute force at edit similarity 0.8 without a limit of bits."""
+    rng = random.Random(23)
+    texts = ["Read more here", "Read more here!", "All rights reserved 2021", "All rights reserved 2022", "contact us", "contact us."]
+    for n in (6, 10, 20, 30, 45):
+        for _ in range(8):
+            words = sentence(rng, n).split()
+            other = list(words)
+            for at in rng.sample(range(n), max(1, n // 8)):
+                other[at] = rng.choice(VOCAB)
+            texts += [" ".join(words), " ".join(other)]
+    texts = sorted({normal(t) for t in texts})
+    near = [(a, b) for i, a in enumerate(texts) for b in texts[:i]
+            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b) <= int(0.2 * max(len(a), len(b)))]
+    docs = docs_of([(i, t, "en") for i, t in enumerate(texts)])
+    found = lines.occurrences(docs)
+    kept = {r["at"]["doc_id"]: r["kept"]["doc_id"] for r in found.join(lines.line_groups(docs, found), ["h1", "h2"]).select("at", "kept").collect()}
+    place = {t: i for i, t in enumerate(texts)}
+    linked = sum(place[a] in kept and kept[place[a]] == kept.get(place[b]) for a, b in near)
+    assert len(near) > 30 and linked >= 0.95 * len(near)
