@@ -191,6 +191,19 @@ def request_bytes_wide(spark, d):
     return sized.select("doc_id", validate.item_count(F.col("body")).alias("items"), F.col("value_bytes").alias("bytes"))
 
 
+@query("request_bytes_whole", """
+SELECT doc_id, 150::INT AS items, (149 * 6 + octet_length(encode(concat('ＡＢ', text))))::BIGINT AS bytes FROM documents""")
+def request_bytes_whole(spark, d):
+    """As above for every document, however long: its text once, beside 149 short strings."""
+    def item(text):
+        return F.struct(F.concat(F.lit("ＡＢ"), text).alias("content"))
+
+    items = F.concat(F.array_repeat(item(F.lit("")), 149), F.array(item(F.coalesce("text", F.lit("")))))
+    body = inputs.table(spark, d, "documents").select("doc_id", F.to_json(F.struct(items.alias("items"))).alias("body"))
+    sized = jsontext.with_value_bytes(body)
+    return sized.select("doc_id", validate.item_count(F.col("body")).alias("items"), F.col("value_bytes").alias("bytes"))
+
+
 @query("recall_bounds", """
 SELECT item_id, CASE WHEN octet_length(encode(text)) > 400 THEN 'recall_query_too_large'
   WHEN item_id * 400 > 8192 THEN 'recall_max_tokens_exceeded' ELSE '-' END AS bound_code FROM benchmark""")

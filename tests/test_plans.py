@@ -45,3 +45,13 @@ def test_no_cartesian_products(spark, data):
                  "capacity_by_count", "retain_decisions", "denied_endpoints"):
         text = plan(catalog.QUERIES[name](spark, data))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_request_bytes_of_long_and_unmeasured_texts(spark, tmp_path):
+    from memgov.plans import catalog
+
+    texts = ["", "é" * 5000, "a\"b\\\n", None, "ﬁ" * 30_000]
+    rows = [(i, t, "en", "s", None if i % 2 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["items"], r["bytes"]) for r in catalog.QUERIES["request_bytes_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (150, 900 + len((t or "").encode())) for i, t in enumerate(texts)}
