@@ -32,6 +32,7 @@ DISTANCE = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (lowest bit, bits)
 PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 PAGE = 2048
+LEAST = 6  # smallest hashes of a text's shingles, of which every three make a key
 FAN = 8
 FRONTIER = 1 << 18
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -249,15 +250,83 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, shingle: int) -> DataFrame:
+    """tie and least (the smallest hashes of the shingles) of every distinct text, n (how many shingles it has) beside them."""
+    def run(batches):
+        for batch in batches:
+            sets = [hashed_shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tie"), pa.array([len(h) for h in sets], pa.int32()), pa.array([h[:LEAST].view(np.int64) for h in sets], pa.list_(pa.int64()))],
+                ["tie", "n", "least"])
+
+    return docs.select(text_hash(docs).alias("tie"), own_text(docs).alias("text")).mapInArrow(run, "tie long, n int, least array<long>").distinct()
+
+
+def hashed_shingles(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of so many words; fewer words make one, none an empty array."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.array(sorted({digest(b" ".join(words[i:i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}) if words else [], np.uint64)
+
+
+def alike(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between the hashes of texts whose shingles have this Jaccard similarity or more.
+
+    Every three of a text's smallest hashes make a key. Within a key and a range of sizes, which overlap, texts are compared with
+    the smallest and the largest, so that a group of any size gives two candidates a member; candidates are verified on all shingles.
+    """
+    own = cut_lineage(pieces(docs, shingle), "pieces")
+    keys = [F.when(F.size("least") > max(at), F.xxhash64(*(F.get("least", F.lit(i)) for i in at))) for at in combinations(range(LEAST), 3)]
+    keys.append(F.when((F.size("least") > 0) & (F.size("least") < 3), F.xxhash64("least")))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    dealt = (own.filter("n > 0").select("tie", "n", F.explode(F.array(size, size + 1)).alias("size"), F.array(*keys).alias("keys"))
+             .select("tie", "n", "size", F.explode("keys").alias("key")).filter("key is not null"))
+    # Plain joins with what is grouped map-side: a key of very many texts can be split.
+    led = (dealt.groupBy("key", "size").agg(F.min(F.struct("n", "tie")).alias("lo"), F.max(F.struct("n", "tie")).alias("hi"))
+           .filter(F.col("lo.tie") != F.col("hi.tie")))
+    pairs = (dealt.join(led, ["key", "size"]).select("tie", "n", F.explode(F.array("lo", "hi")).alias("other"))
+             .filter((F.col("other.tie") != F.col("tie")) & (F.least("n", "other.n") >= similarity * F.greatest("n", "other.n")))
+             .select(F.col("tie").alias("a"), F.col("other.tie").alias("b")).distinct())
+    pairs = cut_lineage(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
+    texts = docs.select(text_hash(docs).alias("tie"), own_text(docs).alias("text")).join(ends, "tie", "left_semi").dropDuplicates(["tie"])
+    texts = cut_lineage(texts, "pair-texts")
+    both = (pairs.join(texts.select(F.col("tie").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("tie").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                v, w = hashed_shingles(x, shingle), hashed_shingles(y, shingle)
+                common = len(np.intersect1d(v, w, assume_unique=True))
+                good.append(common >= similarity * (len(v) + len(w) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def _with_alike(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with components that the links join made one."""
+    named = grouped.select("tie", "component").distinct()
+    ends = links.join(named.select(F.col("tie").alias("a"), F.col("component").alias("u")), "a").join(
+        named.select(F.col("tie").alias("b"), F.col("component").alias("v")), "b")
+    joined = components(ends.select("u", "v"), "alike").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return grouped.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component, columns unchanged: that with the smallest doc_id.
 
+    Documents are linked as in near_duplicates, and if their shingles of five words have a Jaccard similarity of 0.8 or more.
+
     Of several rows with that doc_id the one with the smallest text hash stays, of equal rows any one. A
     row without doc_id stays only if its component has no other.
     """
     made = cut_lineage(fingerprints(docs), "simhash")
     grouped = cut_lineage(made.join(_named(made).select("fp", "component"), "fp")
                           .withColumn("spot", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")), "grouped")
+    grouped = cut_lineage(_with_alike(grouped, cut_lineage(alike(docs, shingle, similarity), "alike")), "grouped")
     first = grouped.groupBy("component").agg(F.min("spot").alias("kept"))
     gone = (grouped.join(cut_lineage(first, "kept"), "component").filter(F.col("spot") != F.col("kept"))
             .select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct())
