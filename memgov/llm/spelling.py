@@ -38,10 +38,10 @@ def words_of(docs: DataFrame, damage: int | None = None, length: int = LENGTH) -
     With damage, a run loses a code point wherever the checksum of "<doc_id>:<run>" is divisible by it; a null
     doc_id is written as nothing. Null texts have no words.
     """
-    small = F.translate(docs["text"].cast("string"), _UPPER, _LOWER)
-    runs = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(small, F.lit(f"[{LETTERS}]{{{length},}}"), F.lit(0))).alias("word"))
+    found = F.regexp_extract_all(docs["text"].cast("string"), F.lit(f"[{LETTERS}]{{{length},}}"), F.lit(0))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(found).alias("word"))
+    # Most words have no capitals at all, and that is cheap to tell.
+    runs = runs.withColumn("word", F.when(F.lower("word") == F.col("word"), F.col("word")).otherwise(F.translate("word", _UPPER, _LOWER)))
     if damage is None:
         return runs.select("word")
     check = F.crc32(F.concat("id", F.lit(":"), "word").cast("binary"))
