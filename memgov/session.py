@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +54,35 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the folders made so far, once nothing that reads them is needed any more."""
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, _MADE.pop())
+
+
+@contextmanager
+def short_lived(spark: SparkSession):
+    """Folders made inside are removed at the end, but for tables written by the function it gives.
+
+    What leaves the block may read those tables and what was there before, nothing else made inside.
+    """
+    before, kept = set(_MADE), []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = new_scratch(spark, label)
+        kept.append(path)
+        df.write.mode("error").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    yield keep
+    for folder in [f for f in _MADE if f not in before and f not in kept]:
+        _remove(spark, folder)
+        _MADE.remove(folder)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
