@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from memgov.llm.common import own_text, shuffle_width
 from memgov.llm.components import components
-from memgov.session import cut_lineage
+from memgov.llm.lines import marked
+from memgov.session import cut_lineage, short_lived
 
 SHINGLE = 3
 SEED = 42
@@ -34,6 +35,7 @@ PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 PAGE = 2048
 LEAST = 6  # smallest hashes of a text's shingles, of which every three make a key
 FAN = 8
+CROWD = 512  # texts that one copy of another is compared with, about
 FRONTIER = 1 << 18
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -251,15 +253,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, shingle: int) -> DataFrame:
-    """tie and least (the smallest hashes of the shingles) of every distinct text, n (how many shingles it has) beside them."""
+    """For every distinct text: tie, n (how many shingles it has), least (the smallest of their hashes) and spot, the first row that has it."""
     def run(batches):
         for batch in batches:
             sets = [hashed_shingles(t, shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("tie"), pa.array([len(h) for h in sets], pa.int32()), pa.array([h[:LEAST].view(np.int64) for h in sets], pa.list_(pa.int64()))],
-                ["tie", "n", "least"])
+                [batch.column("tie"), batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int32()),
+                 pa.array([h[:LEAST].view(np.int64) for h in sets], pa.list_(pa.int64()))], ["tie", "doc_id", "n", "least"])
 
-    return docs.select(text_hash(docs).alias("tie"), own_text(docs).alias("text")).mapInArrow(run, "tie long, n int, least array<long>").distinct()
+    made = docs.select(text_hash(docs).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), own_text(docs).alias("text")).mapInArrow(
+        run, "tie long, doc_id long, n int, least array<long>")
+    return made.groupBy("tie").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("spot"))
 
 
 def hashed_shingles(text: str, shingle: int) -> np.ndarray:
@@ -269,50 +273,83 @@ def hashed_shingles(text: str, shingle: int) -> np.ndarray:
     return np.array(sorted({digest(b" ".join(words[i:i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}) if words else [], np.uint64)
 
 
-def alike(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): links between the hashes of texts whose shingles have this Jaccard similarity or more.
+def _candidates(own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared): texts that share keys, and how many, each against the smallest and the largest of a key.
 
-    Every three of a text's smallest hashes make a key. Within a key and a range of sizes, which overlap, texts are compared with
-    the smallest and the largest, so that a group of any size gives two candidates a member; candidates are verified on all shingles.
+    Every three of a text's smallest hashes make a key. Within a key and a range of sizes, which overlap, texts meet two
+    others, so that a group of any size gives two candidates a member.
     """
-    own = cut_lineage(pieces(docs, shingle), "pieces")
     keys = [F.when(F.size("least") > max(at), F.xxhash64(*(F.get("least", F.lit(i)) for i in at))) for at in combinations(range(LEAST), 3)]
     keys.append(F.when((F.size("least") > 0) & (F.size("least") < 3), F.xxhash64("least")))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    dealt = (own.filter("n > 0").select("tie", "n", F.explode(F.array(size, size + 1)).alias("size"), F.array(*keys).alias("keys"))
-             .select("tie", "n", "size", F.explode("keys").alias("key")).filter("key is not null"))
+    dealt = (own.filter("n > 0").select("tie", "n", "component", F.explode(F.array(size, size + 1)).alias("size"), F.array(*keys).alias("keys"))
+             .select("tie", "n", "component", "size", F.explode("keys").alias("key")).filter("key is not null"))
     # Plain joins with what is grouped map-side: a key of very many texts can be split.
-    led = (dealt.groupBy("key", "size").agg(F.min(F.struct("n", "tie")).alias("lo"), F.max(F.struct("n", "tie")).alias("hi"))
+    led = (dealt.groupBy("key", "size").agg(F.min(F.struct("n", "tie", "component")).alias("lo"), F.max(F.struct("n", "tie", "component")).alias("hi"))
            .filter(F.col("lo.tie") != F.col("hi.tie")))
-    pairs = (dealt.join(led, ["key", "size"]).select("tie", "n", F.explode(F.array("lo", "hi")).alias("other"))
-             .filter((F.col("other.tie") != F.col("tie")) & (F.least("n", "other.n") >= similarity * F.greatest("n", "other.n")))
-             .select(F.col("tie").alias("a"), F.col("other.tie").alias("b")).distinct())
-    pairs = cut_lineage(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
-    texts = docs.select(text_hash(docs).alias("tie"), own_text(docs).alias("text")).join(ends, "tie", "left_semi").dropDuplicates(["tie"])
-    texts = cut_lineage(texts, "pair-texts")
-    both = (pairs.join(texts.select(F.col("tie").alias("a"), F.col("text").alias("x")), "a")
-            .join(texts.select(F.col("tie").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
+    other = F.explode(F.array("lo", "hi")).alias("other")
+    return (dealt.join(led, ["key", "size"]).select("tie", "n", "component", other)
+            .filter((F.col("other.component") != F.col("component")) & (F.least("n", "other.n") >= similarity * F.greatest("n", "other.n")))
+            .groupBy(F.col("other.tie").alias("a"), F.col("tie").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+
+
+def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. A text moves once as `a`, for a bounded number of b, and once for each pair as `b`."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+    asks = pairs.join(parts, "a").select(F.col("b").alias("tie"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(True).alias("asks"))
+    leads = parts.select(F.col("a").alias("tie"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    wanted = cut_lineage(asks.unionByName(leads).join(own.select("tie", "spot"), "tie"), "wanted")
+    rows = docs.select(text_hash(docs).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), own_text(docs).alias("text"))
+    # Most texts that nobody asks for stay where they are.
+    rows = marked(rows, F.xxhash64("tie", "doc_id"), wanted.select(F.xxhash64("tie", "spot.doc_id").alias("place"))).filter("_maybe")
+    rows = rows.select("tie", F.struct(F.col("doc_id").isNull(), "doc_id").alias("spot"), "text")
+    moved = (rows.join(wanted, ["tie", "spot"]).select("a", "part", "asks", "tie", "text")
+             .repartition(shuffle_width(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "asks"))
 
     def verify(batches):
+        at, lead = None, None
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                v, w = hashed_shingles(x, shingle), hashed_shingles(y, shingle)
-                common = len(np.intersect1d(v, w, assume_unique=True))
-                good.append(common >= similarity * (len(v) + len(w) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for a, asks, text in zip(batch.column("a").to_pylist(), batch.column("asks").to_pylist(), batch.column("text"), strict=True):
+                own = hashed_shingles(text.as_py(), shingle)
+                if not asks:
+                    at, lead = a, own
+                common = len(np.intersect1d(lead, own, assume_unique=True)) if asks and at == a else 0
+                good.append(asks and common >= similarity * (len(lead) + len(own) - common))
+            found = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column("a"), found.column("tie")], ["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return cut_lineage(moved.mapInArrow(verify, "a long, b long").distinct(), "similar")
 
 
-def _with_alike(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with components that the links join made one."""
-    named = grouped.select("tie", "component").distinct()
-    ends = links.join(named.select(F.col("tie").alias("a"), F.col("component").alias("u")), "a").join(
-        named.select(F.col("tie").alias("b"), F.col("component").alias("v")), "b")
-    joined = components(ends.select("u", "v"), "alike").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    return grouped.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+def alike(docs: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(tie, whole) of the texts whose component another one joins: whole is the component of both.
+
+    grouped names the component of every text (tie, component). Texts of different components are candidates if they share a key;
+    each is verified against the one it shares most keys with, on all shingles. What is still apart after that is tried against all
+    its candidates, and then once more with new ones, until nothing joins: so a key that holds several groups loses none.
+    """
+    named = grouped.groupBy("tie").agg(F.min("component").alias("component"))
+    own = cut_lineage(pieces(docs, shingle).join(named, "tie"), "pieces")
+    first = True
+    while True:
+        pairs = cut_lineage(_candidates(own, similarity), "pairs")
+        if not first:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b") if first else pairs.select("a", "b")
+        chosen = cut_lineage(chosen, "chosen")
+        if chosen.isEmpty():
+            return own.select("tie", F.col("component").alias("whole"))
+        links = _verified(docs, own, chosen, shingle, similarity)
+        tried = chosen if first else cut_lineage(tried.union(chosen).distinct(), "tried")
+        if links.isEmpty() and not first:
+            return own.select("tie", F.col("component").alias("whole"))
+        first = False
+        part = own.select("tie", "component")
+        ends = links.join(part.select(F.col("tie").alias("a"), F.col("component").alias("u")), "a").join(
+            part.select(F.col("tie").alias("b"), F.col("component").alias("v")), "b")
+        joined = components(ends.select("u", "v"), "alike").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        own = cut_lineage(own.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"), "pieces")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -323,17 +360,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Of several rows with that doc_id the one with the smallest text hash stays, of equal rows any one. A
     row without doc_id stays only if its component has no other.
     """
-    made = cut_lineage(fingerprints(docs), "simhash")
-    grouped = cut_lineage(made.join(_named(made).select("fp", "component"), "fp")
-                          .withColumn("spot", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")), "grouped")
-    grouped = cut_lineage(_with_alike(grouped, cut_lineage(alike(docs, shingle, similarity), "alike")), "grouped")
-    first = grouped.groupBy("component").agg(F.min("spot").alias("kept"))
-    gone = (grouped.join(cut_lineage(first, "kept"), "component").filter(F.col("spot") != F.col("kept"))
-            .select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct())
+    with short_lived(docs.sparkSession) as keep:
+        made = cut_lineage(fingerprints(docs), "simhash")
+        grouped = cut_lineage(made.join(_named(made).select("fp", "component"), "fp")
+                              .withColumn("spot", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")), "grouped")
+        whole = alike(docs, grouped, shingle, similarity)
+        grouped = cut_lineage(grouped.join(whole, "tie", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"), "grouped")
+        first = cut_lineage(grouped.groupBy("component").agg(F.min("spot").alias("kept")), "kept")
+        gone = keep(grouped.join(first, "component").filter(F.col("spot") != F.col("kept"))
+                    .select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct(), "gone")
+        repeated = not (grouped.groupBy("doc_id", "tie").count().filter("count > 1")
+                        .join(first.select("kept.doc_id", "kept.tie"), ["doc_id", "tie"], "left_semi")).isEmpty()
     left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (text_hash(docs) == F.col("_gone_tie")), "left_anti")
-    repeated = (grouped.groupBy("doc_id", "tie").count().filter("count > 1")
-                .join(first.select("kept.doc_id", "kept.tie"), ["doc_id", "tie"], "left_semi"))
-    if repeated.isEmpty():
+    if not repeated:
         return left
     return (left.withColumn("_tie", text_hash(left)).withColumn("_id", F.col("doc_id"))
             .dropDuplicates(["_id", "_tie"]).drop("_id", "_tie"))
