@@ -29,8 +29,7 @@ from memgov.session import cut_lineage
 WINDOW = 2048
 END_ID = 1
 NNLS_STEPS = 300
-# Parts of texts kept per worker. Packing comes after stages that fill an executor's heap, so it keeps fewer.
-KEPT_PARTS = 1 << 19
+FEWER_PARTS = 1 << 19  # parts of texts kept per worker where earlier stages fill an executor's memory
 CUT = ("doc_id long, part int, doc_tokens long, full_crc array<long>, full_rank long, rest int,"
        " rest_rank long, rest_crc long, bit_crc array<long>")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
@@ -163,7 +162,7 @@ class Layout:
         return out
 
 
-def cut_texts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def cut_texts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep: int | None = None) -> DataFrame:
     """Tokenise whole texts; per document the checksums of its pieces and its ranks within its task."""
     end = int(end_id).to_bytes(4, "little")
 
@@ -171,7 +170,7 @@ def cut_texts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
         from pyspark import TaskContext
 
         part, full_seen, rest_seen = TaskContext.get().partitionId(), 0, defaultdict(int)
-        own = encoder(path, KEPT_PARTS)
+        own = encoder(path, keep)
         for batch in batches:
             cols = defaultdict(list)
             for coded in own.encode_batch(batch.column("text").to_pylist()):
@@ -198,15 +197,16 @@ def cut_texts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     return docs.select(F.col("doc_id").cast("long"), own_text(docs).alias("text")).mapInArrow(run, CUT)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep: int | None = None) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most `window` tokens.
 
     A document is its ids and the end id, so an empty or null text is one token. Documents at least a
     window long give full sequences; of the remainder at most one sequence in the whole result is left
     partly filled. Rows with null or repeated doc_id are packed like any other. Returns doc_id, start,
-    length, ids_crc32, doc_tokens, sequence_id (from 0, without gaps) and offset.
+    length, ids_crc32, doc_tokens, sequence_id (from 0, without gaps) and offset. keep bounds the parts of texts
+    that a worker remembers, and so its memory.
     """
-    cut = cut_lineage(cut_texts(docs, path, window, end_id), "packing")
+    cut = cut_lineage(cut_texts(docs, path, window, end_id, keep), "packing")
     counts = np.zeros(window, np.int64)
     for row in cut.groupBy("rest").count().collect():  # one row per length
         counts[row["rest"]] = row["count"]

@@ -2,7 +2,8 @@
 
 A text is cut where other text turns into white space, and a word from the marks that end it. No
 token of the two vocabulary kinds crosses such a cut, so the parts give the ids of the whole. Parts
-repeat; the library sees each once per worker, until the bounded table is full and starts anew.
+repeat; the library sees each once per worker and bounded table. The table has two ages: when the younger half is
+full it takes the place of the older one, from which parts come back as they are met again.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from array import array
 from memgov.llm.bpe import CHUNKS, WHITE
 
 KEPT_PARTS = 3 << 19
+TOGETHER = 1 << 20  # characters of texts whose parts are learned in one step, about
 # Texts of other characters, or with the start of a special token, are not folded beforehand.
 _UNFOLDED = re.compile("[İɐ-\U0010ffff]|<\\|")
 # Latin letters, then ASCII marks without the apostrophe, which may begin a piece of its own.
@@ -35,15 +37,19 @@ class PartEncoder:
         self.chunks = re.compile(rf"[^{WHITE}]+" if self.folds else CHUNKS)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.kept) + len(missing) > self.keep:
-            self.kept.clear()
-        kept, split, wanted = self.kept, {}, set()
-        for chunk in missing:
+        if len(self.kept) + len(missing) > self.keep // 2:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        known = missing.intersection(older)
+        kept.update(zip(known, map(older.__getitem__, known), strict=True))
+        split, wanted = {}, set()
+        for chunk in missing.difference(known):
             found = _WORD_THEN_MARKS.fullmatch(chunk)
             if found and not any(mark in chunk for mark in self.added):
                 split[chunk] = found.groups()
@@ -58,18 +64,27 @@ class PartEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        out = []
+        out: list[bytes] = []
+        waiting: list[list[str]] = []
+        size = 0
         for text in texts:
             if self.folds and not _UNFOLDED.search(text):
                 text = text.lower()
-            chunks = self.chunks.findall(text)
-            missing = set(chunks).difference(self.kept)
-            if missing:
-                self._learn(missing)
-                if not all(map(self.kept.__contains__, chunks)):  # the table began anew meanwhile
-                    self._learn(set(chunks))
-            out.append(b"".join(map(self.kept.__getitem__, chunks)))
-        return out
+            waiting.append(self.chunks.findall(text))
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._coded(waiting)
+                waiting, size = [], 0
+        return out + self._coded(waiting)
+
+    def _coded(self, waiting: list[list[str]]) -> list[bytes]:
+        chunks = set().union(*waiting)
+        missing = chunks.difference(self.kept)
+        if missing:
+            self._learn(missing)
+            for part in chunks.difference(self.kept):  # went to the older half meanwhile
+                self.kept[part] = self.older[part]
+        return [b"".join(map(self.kept.__getitem__, parts)) for parts in waiting]
 
 
 @functools.lru_cache(1)
