@@ -509,10 +509,12 @@ def _reviewed(spark, d):
 @query("recalled_memory_decisions", f"""
 WITH {inputs.DOCS_SQL}, {SENSITIVE_SQL},
 spans AS (SELECT doc_id, {sql_encoded('text')} AS spans FROM docs),
+dec AS (SELECT doc_id, span, {sql_decoded('span')} AS t FROM (SELECT doc_id, unnest(spans) AS span FROM spans)),
 unsafe AS (SELECT DISTINCT doc_id FROM (
   SELECT doc_id FROM docs WHERE len({sql_rules('text')}) > 0 OR len({sql_detectors('text')}) > 0
   UNION ALL SELECT doc_id FROM sensitive
-  UNION ALL SELECT doc_id FROM spans WHERE len(spans) > 8 OR len(list_filter(spans, lambda s: regexp_matches(s, '[=+/]'))) > 0)),
+  UNION ALL SELECT doc_id FROM spans WHERE len(spans) > 8
+  UNION ALL SELECT doc_id FROM dec WHERE CASE WHEN t IS NULL THEN regexp_matches(span, '[=+/]') ELSE len({sql_rules('t')}) > 0 END)),
 states AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'reviewed_blocked' WHEN quality = 1 THEN 'reviewed_allowed' WHEN quality IS NOT NULL THEN 'pending' END AS state,
     d.doc_id % 2 = 0 AS same, d.doc_id % 3 = 0 AS bad_note, u.doc_id IS NOT NULL AS unsafe
   FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN unsafe u ON d.doc_id = u.doc_id)
