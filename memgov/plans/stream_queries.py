@@ -79,6 +79,18 @@ def stream_gate(spark, d):
     return allowed.unionByName(refused).select("request_id", F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
+@query("stream_candidates", f"""
+WITH {_DECIDE_SQL} SELECT request_id, reason, coalesce(write_bank, '-') AS target_bank FROM decided WHERE reason IS NOT NULL""")
+def stream_candidates(spark, d):
+    """The evidence that the gate writes beside its allowed and refused requests, from the same decisions."""
+    turns = _stream(spark, d, "conversations")
+    requests = checked_bodies(inputs.requests_of_turns(turns)).select(
+        "request_id", "writer_id", "op", "body", "parse_error", F.lit("2024-01-01T00:00:00.000Z").alias("at"))
+    root = new_scratch(spark, "stream-candidates")
+    gate.stream_gate(requests, inputs.writers(spark, d), f"{root}/allowed", f"{root}/refused", f"{root}/checkpoint", f"{root}/candidates").awaitTermination()
+    return spark.read.parquet(f"{root}/candidates").select("request_id", "reason", F.coalesce("target_bank", F.lit("-")).alias("target_bank"))
+
+
 def _merged_stream(spark, d) -> str:
     """The evidence of line items merged in micro-batches, one file of it each, in the order of time."""
     root = new_scratch(spark, "stream-quarantine")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -129,26 +130,27 @@ def stream_gate(requests: DataFrame, writers: DataFrame, allowed_path: str, refu
     evidence of quarantined requests is written as well, at the time in `at`."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        reads = decide_recall(batch.filter("op = 'recall'"), writers)
-        writes = decide_retain(batch.filter("op = 'retain'"), writers)
         other = batch.filter("op is null or op not in ('recall', 'retain')").withColumn("refusal", F.lit("unsupported_operation"))
+        # Decided once, with their evidence; every output reads the rows kept here.
+        reads = decide_recall(batch.filter("op = 'recall'"), writers).persist(StorageLevel.DISK_ONLY)
+        writes = decide_retain(batch.filter("op = 'retain'"), writers).persist(StorageLevel.DISK_ONLY)
         columns = ["request_id", "writer_id", "op", "decision", "reason", "error_code", "target_bank", "findings"]
         decided = writes.select(*columns)
         for frame in (reads, decide_retain(other, writers)):
             decided = decided.unionByName(frame.select(*columns))
-        decided = decided.persist()
         try:
             part = f"batch={batch_id:012d}"
             passed = F.col("decision").isin("allowed", "fan_out")
             decided.filter(passed).write.mode("overwrite").parquet(f"{allowed_path}/{part}")
             decided.filter(~passed).write.mode("overwrite").parquet(f"{refused_path}/{part}")
+            if candidates_path is not None:
+                kept = ["kind", "dedupe_key", "quarantine_id", "request_id", "writer_id", "target_bank", "reason", "payload", at]
+                rows = [quarantine_candidates(f, kind, at).select(*kept)
+                        for f, kind in ((writes, "retain_request"), (reads, "recall_request"))]
+                rows[0].unionByName(rows[1]).write.mode("overwrite").parquet(f"{candidates_path}/{part}")
         finally:
-            decided.unpersist()
-        if candidates_path is not None:
-            kept = ["kind", "dedupe_key", "quarantine_id", "request_id", "writer_id", "target_bank", "reason", "payload", at]
-            rows = [quarantine_candidates(f, kind, at).select(*kept)
-                    for f, kind in ((writes, "retain_request"), (reads, "recall_request"))]
-            rows[0].unionByName(rows[1]).write.mode("overwrite").parquet(f"{candidates_path}/{part}")
+            reads.unpersist()
+            writes.unpersist()
 
     return (
         requests.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
