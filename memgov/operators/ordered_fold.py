@@ -4,8 +4,9 @@ Rows are range-partitioned by (key, time, id) into blocks and each block is fold
 needs from its predecessor is a small bounded state (for a quota: the admitted times of the last window),
 and only if it goes on with the same key within the fold's reach. Blocks first run without it. Then, of each
 chain of blocks that depend on each other, the first that ran with another state than its predecessor
-leaves runs again: its predecessor is final, so no block runs more than twice. A key may span any number
-of blocks; after a quiet stretch longer than the reach a new chain begins.
+leaves runs again: its predecessor is final, so no block runs more than twice, though a chain takes as many
+rounds as it has such blocks. A round reads the folders of its blocks only. A key may span any number of
+blocks; after a quiet stretch longer than the reach a new chain begins.
 """
 
 from __future__ import annotations
@@ -58,9 +59,9 @@ def fold_with_runs(rows: DataFrame, fold, verdict: str, key: str | None = None,
     types = dict(narrow.dtypes)
     out = ", ".join(f"`{c}` {types[c]}" for c in order) + f", verdict {verdict}"
     path = new_scratch(spark, "fold-blocks")
-    (narrow.repartitionByRange(blocks, *sort).withColumn("_block", F.spark_partition_id().cast("long"))
-     .write.parquet(path))
-    ranged = spark.read.parquet(path)
+    numbered = narrow.repartitionByRange(blocks, *sort).withColumn("_block", F.spark_partition_id().cast("long"))
+    numbered.write.partitionBy("_block").parquet(path)
+    ranged = spark.read.schema(numbered.schema).parquet(path)
     # A run leaves a block's verdicts and one row (last = true) with its ends, what it was given and what
     # it hands on.
     fields = out + (", _block long, last boolean, first_key string, first_at long, out_key string, out_at long,"
@@ -82,20 +83,22 @@ def fold_with_runs(rows: DataFrame, fold, verdict: str, key: str | None = None,
             out_at=int(pdf[order[0]].iloc[-1]), out_state=left, used=used)
         return pd.concat([done, end])[names]
 
-    def run(targets):
-        """Fold the blocks named in `targets` (_block, wanted)."""
+    def run(targets, first, last):
+        """Fold the blocks named in `targets` (_block, wanted), all from `first` to `last`."""
         given = targets.select(F.col("_block").alias("_b"), "wanted")
-        chosen = ranged.join(given, F.col("_block") == F.col("_b"), "left_semi")
+        chosen = ranged.filter(F.col("_block").between(first, last)).join(given, F.col("_block") == F.col("_b"), "left_semi")
         folded = chosen.groupBy("_block").cogroup(given.groupBy("_b")).applyInPandas(fold_block, fields)
-        return cut_lineage(folded, "fold-run")
+        made = new_scratch(spark, "fold-run")
+        folded.write.partitionBy("last").parquet(made)
+        return spark.read.schema(folded.schema).parquet(made)
 
     def ends_of(number):
-        """One row per block of a run; a small table next to the verdicts."""
+        """One row per block of a run, from a folder of its own next to the verdicts."""
         handed = runs[number].filter("last").select("_block", *names[5:])
         return handed.withColumn("_run", F.lit(number))
 
-    runs = [run(ranged.select("_block").distinct().withColumn("wanted", F.lit(None).cast("string")))]
-    ends = cut_lineage(ends_of(0), "fold-ends")
+    runs = [run(spark.range(blocks).select(F.col("id").alias("_block"), F.lit(None).cast("string").alias("wanted")), 0, blocks - 1)]
+    ends = ends_of(0)
     # From here on one row per block: the only orderings over all data.
     in_order = Window.orderBy("_block")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -107,10 +110,12 @@ def fold_with_runs(rows: DataFrame, fold, verdict: str, key: str | None = None,
         chained = chained.withColumn("_chain", F.sum((~F.col("_on")).cast("long")).over(so_far))
         stale = chained.filter(~F.col("wanted").eqNullSafe(F.col("used")))
         first = stale.groupBy("_chain").agg(F.min_by(F.struct("_block", "wanted"), "_block").alias("b"))
-        again = cut_lineage(first.select("b._block", "b.wanted"), "fold-again")
-        if again.isEmpty():
+        again = first.select("b._block", "b.wanted")
+        lowest, highest = again.agg(F.min("_block"), F.max("_block")).first()
+        if lowest is None:
             break
-        runs.append(run(again))
+        again = cut_lineage(again, "fold-again")
+        runs.append(run(again, lowest, highest))
         settled = ends.join(again.select("_block"), "_block", "left_anti")
         ends = cut_lineage(settled.unionByName(ends_of(len(runs) - 1)), "fold-ends")
     # A block's verdicts are those of its latest run.
@@ -291,12 +296,13 @@ class EvidenceAdmission:
     """Write budgets and capacity of the quarantine store in arrival order.
 
     The verdict is null for admitted evidence, else the refusal code. A budget stays spent when
-    capacity refuses the item afterwards. Stored totals at the start are given once; what is
+    capacity refuses the item afterwards. What a row would be charged to, as a new item and as a known one, comes
+    with it. Stored totals at the start are given once; what is
     on file for a row's identity comes with the row, later changes are kept in the state.
     """
 
-    columns = ("match_key", "kind", "reason", "writer_id", "scope", "scope_pending", "family_scope",
-               "family", "item_bytes", "old_status", "old_live", "old_bytes", "old_scope")
+    columns = ("match_key", "kind", "reason", "scope", "scope_pending", "family_scope", "family", "item_bytes",
+               "old_status", "old_live", "old_bytes", "old_scope", "fresh_keys", "fresh_caps", "known_keys", "known_caps")
 
     def __init__(self, limits, pending: int, stored_bytes: int):
         self.limits, self.pending, self.bytes = limits, pending, stored_bytes
@@ -306,7 +312,8 @@ class EvidenceAdmission:
                 "bytes": self.bytes}
 
     def load(self, text):
-        return json.loads(text)
+        state = json.loads(text)
+        return {**state, "times": {k: deque(v) for k, v in state["times"].items()}}
 
     def dump(self, state, now):
         edge = now - self.limits.window_ms
@@ -315,25 +322,13 @@ class EvidenceAdmission:
         return json.dumps({**state, "times": {k: v for k, v in times.items() if v},
                            "families": {k: v for k, v in families.items() if v}}, sort_keys=True)
 
-    def _budgets(self, known, kind, reason, writer):
-        c = self.limits
-        if known:
-            audit = ":auth-audit" if reason == "auth_failed" else ""
-            return [("requarantine" + audit, c.requarantine_ops)]
-        if c.writes_per_writer <= 0:
-            return []
-        if reason == "auth_failed":
-            return [("writes:auth-audit", c.writes_global)]
-        name = "unknown-writer" if reason == "unknown_writer" else writer or "unknown-writer"
-        return [(f"writes:writer:{name}", c.writes_per_writer), ("writes", c.writes_global)]
-
-    def _charge(self, state, now, known, kind, reason, writer, family_scope, family):
+    def _charge(self, state, now, known, reason, budgets, family_scope, family):
         edge = now - self.limits.window_ms
-        budgets = [b for b in self._budgets(known, kind, reason, writer) if b[1] > 0]
+        budgets = [b for b in budgets if b[1] > 0]
         for name, cap in budgets:
-            line = state["times"].setdefault(name, [])
+            line = state["times"].setdefault(name, deque())
             while line and line[0] <= edge:
-                line.pop(0)
+                line.popleft()
             if len(line) >= cap:
                 return False
         count_family = (family is not None and not known and reason != "auth_failed"
@@ -350,13 +345,14 @@ class EvidenceAdmission:
             state["times"][name].append(now)
         return True
 
-    def feed(self, state, now, _id, match_key, kind, reason, writer, scope, scope_pending,
-             family_scope, family, item_bytes, old_status, old_live, old_bytes, old_scope):
+    def feed(self, state, now, _id, match_key, kind, reason, scope, scope_pending, family_scope, family, item_bytes,
+             old_status, old_live, old_bytes, old_scope, fresh_keys, fresh_caps, known_keys, known_caps):
         limits = self.limits
         if match_key in state["items"]:
             old_status, old_live, old_bytes, old_scope = state["items"][match_key]
         known = old_status is not None
-        if not self._charge(state, now, known, kind, reason, writer, family_scope, family):
+        budgets = zip(known_keys, known_caps, strict=True) if known else zip(fresh_keys, fresh_caps, strict=True)
+        if not self._charge(state, now, known, reason, budgets, family_scope, family):
             return "quarantine_rate_limited"
         request = kind in ("retain_request", "recall_request")
         if request and known and old_status not in ("pending", "postponed"):

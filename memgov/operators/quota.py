@@ -185,6 +185,9 @@ def admit_evidence(candidates: DataFrame, items: DataFrame, at: Column,
     totals = capacity_totals(items, at).first()
     rows = keyed.join(stored, "match_key", "left").join(used, "scope", "left").withColumn(
         "scope_pending", F.coalesce("scope_pending", F.lit(0)))
+    for name, known in (("fresh", False), ("known", True)):
+        rows = rows.withColumn("known", F.lit(known)).withColumn("_charged", charge_keys(limits))
+        rows = rows.withColumns({f"{name}_keys": F.col("_charged")["key"], f"{name}_caps": F.col("_charged")["cap"]}).drop("known", "_charged")
     fold = folds.EvidenceAdmission(limits, int(totals["pending_count"]), int(totals["encrypted_bytes"]))
     verdicts = folds.ordered_fold(rows, fold, "string", None, rows_per_block=rows_per_block)
     return keyed.drop("match_key", "scope").join(
