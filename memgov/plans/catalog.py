@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from memgov.plans import (  # noqa: F401
-        access_queries, body_queries, item_queries, quota_queries, scan_queries, stream_queries,
+        access_queries, body_queries, item_queries, quota_queries, scan_queries, source_queries, stream_queries,
     )
