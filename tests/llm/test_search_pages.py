@@ -86,10 +86,56 @@ def test_pages(spark):
     assert rows_of(wrappers.extract_text(frame.limit(0))) == []
 
 
-def test_copies_are_no_template():
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(i, url, html) for i, (url, html) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.extract_text(frame).orderBy("page_id").collect()]
+
+
+def test_copies_are_no_template(spark):
     same = "<html><body><article><p>" + "words that all copies share " * 5 + "</p></article></body></html>"
-    wrapper = wrappers.induce([same] * 5)
-    assert wrappers.extract(same, wrapper) == ("words that all copies share " * 5).strip()
+    assert texts_of(spark, [("http://a.example/", same)] * 6) == [("words that all copies share " * 5).strip()] * 6
+
+
+def story(n):
+    return f"<div><div>Story {n} begins here</div><div>and goes on with {n * 7} words</div>"
+
+
+def test_only_alignment_tells(spark):
+    """No names at all: what is menu and what is content follows from the other pages."""
+    pages = [("http://a.example/", f"<body><div><div>Home</div><div>About us</div></div>{story(i)}<div>Read us every day</div></div><div>All rights</div>")
+             for i in range(12)]
+    wanted = [f"Story {i} begins here\nand goes on with {i * 7} words" for i in range(12)]
+    assert texts_of(spark, pages) == wanted
+    alone = texts_of(spark, pages[3:4])
+    assert alone == [wanted[3] + "\nRead us every day"]  # by the mass of text alone
+
+
+def test_counts_cover_all_pages_of_a_host(spark):
+    """A sentence that 8 of 200 pages share is content; one that 195 share is template."""
+    pages = [("http://a.example/", f"<article><p>Body {i}</p><p>{'Shared by few' if i < 8 else f'Own end {i}'}</p>"
+              f"<p>{f'Odd {i}' if i % 40 == 0 else 'Shared by most'}</p></article>") for i in range(200)]
+    wanted = [f"Body {i}\n" + ("Shared by few" if i < 8 else f"Own end {i}") + (f"\nOdd {i}" if i % 40 == 0 else "") for i in range(200)]
+    got = texts_of(spark, pages)
+    # The reference is one page. If its own last sentence is odd, those of the others stay.
+    assert got == wanted or got == [w if i % 40 == 0 else w + "\nShared by most" for i, w in enumerate(wanted)]
+
+
+def test_two_layouts_of_a_host(spark):
+    one = [("http://a.example/", f"<div class='post'><div>News of the day</div><div>Post {i}</div></div>") for i in range(9)]
+    two = [("http://a.example/", f"<div class='shop'><div>Offer {i}</div><div>Price {i}</div><div>Order now</div></div>") for i in range(6)]
+    rare = [("http://a.example/", "<section><div>Only once</div></section>")]
+    assert texts_of(spark, one + two + rare) == [f"Post {i}" for i in range(9)] + [f"Offer {i}\nPrice {i}" for i in range(6)] + ["Only once"]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<article><p>Text</p>" + "<div>" * 250 + "<nav>Menu</nav><p>More</p>" + "</div>" * 250 + "</article>"
+    tags = ("b", "i", "em", "u", "s", "q")
+    wide = ["<article>" + "".join(f"<p>n{i} <{tags[(i * k) % 6]}>of {k}</{tags[(i * k) % 6]}> {'<br>' * (i % (5 + k))}</p>" for i in range(5000)) + "</article>"
+            for k in (1, 2)]
+    got = texts_of(spark, [("http://a.example/", deep), ("http://b.example/", "<div>" * 20_000 + "deep"),
+                           *(("http://c.example/", w) for w in wide), ("http://b.example/", "<div>" * 19_000 + "less")])
+    assert got[0] == "Text\nMore" and got[1] == "deep" and got[4] == "less"
+    assert [g.count("\n") for g in got[2:4]] == [4999, 4999] and got[2].startswith("n0 of 1\nn1 of 1\n")
 
 
 def plain_weight(a, b):
