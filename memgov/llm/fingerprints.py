@@ -90,8 +90,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b holds."""
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Estimated share of a's shingles that b holds; None, not known, where a's only hash is not below the limit."""
+    if len(a) == 1 and a[0] >= LIMIT:
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 

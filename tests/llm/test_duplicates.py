@@ -157,6 +157,12 @@ def test_fingerprints(docs_of):
     assert got[500]["fingerprint"] == "" and got[500]["near_edited"] == 1.0
 
 
+def test_containment_of_a_lone_hash_above_the_limit_is_not_known():
+    lone, many = np.array([fingerprints.LIMIT + np.uint64(5)], np.uint64), np.array([3, 9], np.uint64)
+    assert fingerprints.containment(lone, many) is None and fingerprints.containment(lone, lone) is None
+    assert fingerprints.containment(many[:1], many) == 1.0 and fingerprints.containment(many, lone) == 0.0
+
+
 def test_sketches_merge_and_tell_containment():
     rng = random.Random(4)
     own = fingerprints.sketcher()
