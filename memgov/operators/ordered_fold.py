@@ -242,7 +242,8 @@ class Throttle:
         return json.loads(text)
 
     def dump(self, state, now):
-        return None if state["last"] is None else json.dumps(state, sort_keys=True)
+        over = state["last"] is None or not state["held"] and now - state["last"] >= self.interval
+        return None if over else json.dumps(state, sort_keys=True)
 
     def feed(self, state, now, _id, exempt):
         if exempt:

@@ -29,6 +29,33 @@ def _requests(spark, d):
         "event_type", F.unix_millis("ts").alias("ts_ms"), "ts")
 
 
+def _in_turns(frames, path: str, run) -> None:
+    """Each frame written in as many files as it has partitions, the stream run to its end after each."""
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+        run(frame.sparkSession.readStream.schema(frame.schema).parquet(path)).awaitTermination()
+
+
+def _disordered(spark, d, label, fold_stream):
+    """The fold over events that arrive up to three days late, in parts of six days by arrival.
+
+    A last row of no event, far ahead, moves the watermark past all of them.
+    """
+    root = new_scratch(spark, label)
+    events = inputs.event_requests(spark, d).select("request_id", "writer_id", "event_type", "ts_ms")
+    arrival = F.col("ts_ms") + F.pmod(F.xxhash64("request_id"), F.lit(3 * DAY))
+    edges = events.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    last = events.limit(0)
+    parts = []
+    if edges[0] is not None:
+        parts = [events.filter(F.floor((arrival - edges[0]) / (6 * DAY)) == k) for k in range((edges[1] + 3 * DAY - edges[0]) // (6 * DAY) + 1)]
+        ahead = edges[1] + 60 * DAY
+        last = spark.range(1).select(F.lit("").alias("request_id"), F.lit("").alias("writer_id"), F.lit("").alias("event_type"), F.lit(ahead).alias("ts_ms"))
+    _in_turns([*parts, last], f"{root}/in", lambda rows: gate.write_once(
+        fold_stream(rows), f"{root}/out", f"{root}/checkpoint", settle=True))
+    return spark.read.parquet(f"{root}/out")
+
+
 def _finish(stream, spark, label):
     """Run to the end and read the sink."""
     root = new_scratch(spark, label)
@@ -44,7 +71,7 @@ def stream_writer_quota(spark, d):
     return out.select("request_id", F.col("verdict").alias("admitted"))
 
 
-@query("stream_log_throttle", f"""
+_THROTTLE_SQL = f"""
 WITH RECURSIVE {inputs.EVENTS_SQL},
 numbered AS MATERIALIZED (SELECT event_type AS k, request_id AS id, ts_ms, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms, request_id) AS n FROM reqs),
 steps AS (
@@ -54,12 +81,30 @@ steps AS (
     CASE WHEN x.ts_ms - s.last >= {2 * HOUR} THEN 0 ELSE s.held + 1 END, x.ts_ms - s.last >= {2 * HOUR},
     CASE WHEN x.ts_ms - s.last >= {2 * HOUR} THEN s.held ELSE 0 END
   FROM steps s JOIN numbered x ON x.k = s.k AND x.n = s.n + 1)
-SELECT id AS request_id, suppressed::BIGINT AS suppressed FROM steps WHERE emitted""")
+SELECT id AS request_id, suppressed::BIGINT AS suppressed FROM steps WHERE emitted"""
+
+
+@query("stream_log_throttle", _THROTTLE_SQL)
 def stream_log_throttle(spark, d):
     out = gate.stream_throttle(_requests(spark, d), F.col("event_type"), F.lit(False), 2 * HOUR)
     return _finish(out, spark, "stream-throttle").select("request_id", "suppressed")
 
 
+@query("stream_quota_disordered", f"""
+WITH RECURSIVE {inputs.EVENTS_SQL}, {recursive_sql(_BY_WRITER, 2, DAY)} SELECT request_id, admitted FROM steps""")
+def stream_quota_disordered(spark, d):
+    """Requests of one window spread over several micro-batches in wrong order get the verdicts of the batch."""
+    out = _disordered(spark, d, "stream-quota", lambda rows: gate.stream_quota(rows, 2, DAY, "4 days"))
+    return out.select("request_id", F.col("verdict").alias("admitted"))
+
+
+@query("stream_throttle_disordered", _THROTTLE_SQL)
+def stream_throttle_disordered(spark, d):
+    """The same of the log throttle."""
+    out = _disordered(spark, d, "stream-throttle", lambda rows: gate.stream_throttle(rows, F.col("event_type"), F.lit(False), 2 * HOUR, "4 days"))
+    return out.select("request_id", "suppressed")
+
+
 @query("stream_first_seen", """
 SELECT DISTINCT user_id::VARCHAR AS writer_id, event_type FROM events""")
 def stream_first_seen(spark, d):
@@ -92,22 +137,15 @@ def stream_candidates(spark, d):
 
 
 def _merged_stream(spark, d) -> str:
-    """The evidence of line items merged in micro-batches, one file of it each, in the order of time."""
+    """The evidence of line items merged in three micro-batches, in the order of time."""
     root = new_scratch(spark, "stream-quarantine")
     save_items(inputs.items(spark, d), f"{root}/items/version={0:012d}")
     candidates = _evidence(spark, d)
-    _in_turns([candidates.filter(F.year("at").between(a, b)) for a, b in ((0, 1996), (1997, 1998), (1999, 9999))], f"{root}/candidates")
-    stream = spark.readStream.schema(candidates.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/candidates")
-    gate.stream_quarantine(stream, root, f"{root}/checkpoint", at=inputs.at()).awaitTermination()
+    parts = [candidates.filter(F.year("at").between(a, b)) for a, b in ((0, 1996), (1997, 1998), (1999, 9999))]
+    _in_turns(parts, f"{root}/candidates", lambda rows: gate.stream_quarantine(rows, root, f"{root}/checkpoint", at=inputs.at()))
     return root
 
 
-def _in_turns(frames, path: str) -> None:
-    """One file per frame, each written after the one before."""
-    for frame in frames:
-        frame.repartition(1).write.mode("append").parquet(path)
-
-
 @query("stream_conflicts", f"""
 WITH {_EVIDENCE_SQL} SELECT old_id AS quarantine_id, n::BIGINT AS n,
   CASE WHEN action = 'conflict_request' THEN 'quarantine_request_in_review' ELSE 'quarantine_item_in_review' END AS code
@@ -126,9 +164,8 @@ def stream_late_rows(spark, d):
     """Events arriving in three parts that overlap in time; those ten days behind are set aside."""
     root = new_scratch(spark, "stream-late")
     events = inputs.table(spark, d, "events").select("event_id", "ts")
-    _in_turns([events.filter(F.col("event_id") % 3 == k) for k in range(3)], f"{root}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
-    gate.stream_on_time(stream, "ts", 10 * 24 * 3600, root, f"{root}/checkpoint").awaitTermination()
+    _in_turns([events.filter(F.col("event_id") % 3 == k) for k in range(3)], f"{root}/events",
+              lambda rows: gate.stream_on_time(rows, "ts", 10 * 24 * 3600, root, f"{root}/checkpoint"))
     sides = [spark.read.schema("event_id long, ts timestamp").parquet(f"{root}/{side}").select("event_id", F.lit(side == "late").alias("late"))
              for side in ("on_time", "late")]
     return sides[0].unionByName(sides[1])

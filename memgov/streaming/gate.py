@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -79,31 +80,105 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
-def _fold_stream(rows: DataFrame, key: str, fold, verdict: str, ttl_ms: int) -> DataFrame:
+class OrderedFoldProcessor(StatefulProcessor):
+    """Runs one of the ordered folds per key in event time, however rows are spread over micro-batches.
+
+    Rows wait in state, in slices of time, until the watermark has passed the end of their slice; a timer there
+    feeds them in (time, id) order. So one slice of a key is the most that is held at once. What the fold keeps
+    goes by a timer too, `hold_ms` of event time after the key's last row, once it cannot change a verdict.
+    """
+
+    def __init__(self, fold, slice_ms: int, hold_ms: int, columns: list[str]):
+        self.fold, self.slice_ms, self.hold_ms, self.columns = fold, slice_ms, hold_ms, columns
+        self.order = [columns.index("ts_ms"), columns.index("request_id")]
+        self.given = [columns.index(c) for c in fold.columns]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("fold", "value string")
+        self.parts = handle.getValueState("parts", "n long")
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "rows string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        for pdf in rows:
+            for slot, some in pdf.groupby(pdf["ts_ms"] // self.slice_ms):
+                columns = [some[c].astype(object).where(some[c].notna(), None).tolist() for c in self.columns]
+                self.waiting.updateValue((int(slot), part), (json.dumps(list(zip(*columns, strict=True))),))
+                self.handle.registerTimer(self._end(int(slot)))
+                part += 1
+        self.parts.update((part,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        edge = timerValues.getCurrentWatermarkInMs()
+        parts = sorted(tuple(k) for k in self.waiting.keys())
+        due = [k for k in parts if self._end(k[0]) <= edge]
+        state = self.fold.load(self.state.get()[0]) if self.state.exists() else self.fold.start()
+        last = None
+        for slot in dict.fromkeys(k[0] for k in due):
+            rows = []
+            for k in (k for k in due if k[0] == slot):
+                rows += json.loads(self.waiting.getValue(k)[0])
+                self.waiting.removeKey(k)
+            rows.sort(key=lambda r: [r[i] for i in self.order])
+            verdicts = [self.fold.feed(state, *(r[i] for i in (*self.order, *self.given))) for r in rows]
+            last = rows[-1][self.order[0]]
+            yield pd.DataFrame(rows, columns=self.columns, dtype=object).assign(verdict=pd.Series(verdicts, dtype=object))
+        # No row before this moment is still to come.
+        settled = min([edge, *(k[0] * self.slice_ms - 1 for k in parts[len(due):])])
+        left = self.fold.dump(state, settled if last is None else max(last, settled))
+        if left is None:
+            self.state.clear()
+        else:
+            self.state.update((left,))
+            if last is not None:
+                self.handle.registerTimer(last + self.hold_ms)
+        if len(due) == len(parts):
+            self.parts.clear()
+
+    def _end(self, slot: int) -> int:
+        return (slot + 1) * self.slice_ms - 1
+
+    def close(self) -> None:
+        pass
+
+
+def _fold_stream(rows: DataFrame, key: str, fold, verdict: str, hold_ms: int, delay: str | None) -> DataFrame:
+    """Verdicts of a fold. Without `delay` rows are decided as they arrive, in order within a micro-batch;
+    with it in event-time order, once the watermark, `delay` behind the latest row, has passed them."""
     columns = list(dict.fromkeys([key, "request_id", "ts_ms", *fold.columns]))
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", verdict {verdict}"
-    narrow = rows.select(*columns)
-    return narrow.groupBy(key).transformWithStateInPandas(
-        FoldProcessor(fold, ttl_ms, columns), schema, "append", "ProcessingTime")
+    if delay is None:
+        processor = FoldProcessor(fold, max(IDLE_MS, 2 * hold_ms), columns)
+        return rows.select(*columns).groupBy(key).transformWithStateInPandas(processor, schema, "append", "ProcessingTime")
+    processor = OrderedFoldProcessor(fold, max(1, hold_ms // 4), hold_ms, columns)
+    timed = rows.select(*columns, F.timestamp_millis("ts_ms").alias("_at")).filter("_at is not null")
+    return timed.withWatermark("_at", delay).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
-def stream_quota(requests: DataFrame, per_writer: int, window_ms: int) -> DataFrame:
-    """Per-writer admission of a stream. The overall cap is one key by nature: see `stream_overall`."""
+def stream_quota(requests: DataFrame, per_writer: int, window_ms: int, delay: str | None = None) -> DataFrame:
+    """Per-writer admission of a stream. The overall cap is one key by nature: see `stream_overall`.
+
+    With `delay` the verdicts are those of the batch operator over all rows that come no later than the delay
+    behind the latest; rows later than that, or without a time, have no verdict (`stream_on_time` keeps them).
+    """
     fold = folds.KeyedQuota(per_writer, window_ms)
-    return _fold_stream(requests, "writer_id", fold, "boolean", max(IDLE_MS, 2 * window_ms))
+    return _fold_stream(requests, "writer_id", fold, "boolean", window_ms, delay)
 
 
-def stream_overall(requests: DataFrame, overall: int, per_writer: int, window_ms: int) -> DataFrame:
-    """Both caps in one serial stage; all writers share one key."""
+def stream_overall(requests: DataFrame, overall: int, per_writer: int, window_ms: int, delay: str | None = None) -> DataFrame:
+    """Both caps in one serial stage; all writers share one key. `delay` as in `stream_quota`."""
     fold = folds.SharedQuota(per_writer, overall, window_ms)
-    return _fold_stream(requests.withColumn("_all", F.lit("all")), "_all", fold, "boolean", max(IDLE_MS, 2 * window_ms))
+    return _fold_stream(requests.withColumn("_all", F.lit("all")), "_all", fold, "boolean", window_ms, delay)
 
 
-def stream_throttle(events: DataFrame, key: Column, exempt: Column, interval_ms: int = 60_000) -> DataFrame:
-    """Log records let through, with the number held back before each."""
+def stream_throttle(events: DataFrame, key: Column, exempt: Column, interval_ms: int = 60_000,
+                    delay: str | None = None) -> DataFrame:
+    """Log records let through, with the number held back before each. `delay` as in `stream_quota`."""
     marked = events.withColumn("throttle_key", key).withColumn("exempt", exempt)
-    out = _fold_stream(marked, "throttle_key", folds.Throttle(interval_ms), "long", max(IDLE_MS, 2 * interval_ms))
+    out = _fold_stream(marked, "throttle_key", folds.Throttle(interval_ms), "long", interval_ms, delay)
     return out.filter("verdict >= 0").withColumnRenamed("verdict", "suppressed").drop("exempt")
 
 
@@ -112,9 +187,12 @@ def stream_dedupe(events: DataFrame, keys: list[str], time: str, delay: str) ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop."""
-    with _settings(stream.sparkSession, STATE_SETTINGS):
+def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+               settle: bool = False) -> StreamingQuery:
+    """Process what is there and stop. With `settle` a last batch without rows runs the event-time timers
+    that the rows of this run made due."""
+    settings = {**STATE_SETTINGS, "spark.sql.streaming.noDataMicroBatches.enabled": str(settle).lower()}
+    with _settings(stream.sparkSession, settings):
         return (
             stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .outputMode(mode).trigger(availableNow=True).start()
