@@ -12,6 +12,7 @@ from memgov import fixed
 from memgov.functions import identity
 from memgov.functions.times import age_seconds, plus_days
 from memgov.operators.routing import match_key
+from memgov.session import cut_lineage
 
 ITEM_SCHEMA = T.StructType(
     [T.StructField("quarantine_id", T.StringType()), T.StructField("created_at", T.TimestampType()),
@@ -174,21 +175,26 @@ EVIDENCE = ("kind", "reason", "writer_id", "source", "source_bank", "source_memo
             "source_content_sha256", "dedupe_key", "sha256", "encrypted_envelope", "encrypted_bytes")
 
 
+# What a merge needs of a stored item: all but what the last candidate replaces.
+_OLD = ("quarantine_id", "kind", "source_bank", "source_memory_id", "dedupe_key", "source_content_sha256", "status",
+        "created_at", "expires_at", "postpone_count", "requarantine_count")
+
+
 def classify(candidates: DataFrame, items: DataFrame, at: Column) -> DataFrame:
     """One row per identity of the batch: first and last candidate, count, stored item, action.
 
     First and last are merged map-side, so that an identity with a third of the rows costs one
-    row per partition.
+    row per partition. Evidence does not come along: `last` names the row that holds it.
     """
-    order = F.struct("at", "request_id")
-    keep = F.struct("quarantine_id", "at", *EVIDENCE)
+    order = F.struct("at", "request_id", "sha256")
     keyed = candidates.withColumn("match_key", match_key(candidates))
     groups = keyed.groupBy("match_key").agg(
-        F.min_by(keep, order).alias("first"), F.max_by(keep, order).alias("last"),
+        F.min_by(F.struct("quarantine_id", "at", "kind", "dedupe_key"), order).alias("first"),
+        F.max(order).alias("last"),
         F.count("*").cast("int").alias("n"),
         F.count_if(F.col("reason") != "auth_failed").cast("int").alias("audited"),
     )
-    stored = items.select(match_key(items).alias("match_key"), F.struct(*ITEM_COLUMNS).alias("old"))
+    stored = items.select(match_key(items).alias("match_key"), F.struct(*_OLD).alias("old"))
     joined = groups.join(stored, "match_key", "left")
     status, kind = F.col("old.status"), F.col("first.kind")
     over = status.isin(*fixed.REVIEWABLE) & F.coalesce(F.col("old.expires_at") <= at, F.lit(False))
@@ -233,15 +239,22 @@ def _merged_item(ttl_days: int) -> Column:
 
 
 def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_id: str,
-                     ttl_days: int = 30) -> Merged:
+                     ttl_days: int = 30, actions_path: str | None = None) -> Merged:
     """Insert, refresh, reopen or refuse new evidence. Candidates need `request_id` and `at`.
 
-    Repeats within the batch act in order: the first decides the action, later ones refresh.
+    Repeats within the batch act in order: the first decides the action, later ones refresh. The actions, a
+    narrow table, are written once for all three outputs, to `actions_path` or a scratch folder; evidence is
+    fetched for the last candidates only.
     """
     groups = classify(candidates, items, at)
+    if actions_path is None:
+        groups = cut_lineage(groups, "merge-actions")
+    else:
+        groups.write.mode("overwrite").parquet(actions_path)
+        groups = items.sparkSession.read.schema(groups.schema).parquet(actions_path)
     refused = F.col("action").startswith("conflict")
     changed = groups.filter(~refused)
-    new_items = changed.select(_merged_item(ttl_days).alias("i")).select("i.*")
+    new_items = _with_evidence(changed, candidates).select(_merged_item(ttl_days).alias("i")).select("i.*")
     touched = changed.filter(F.col("old").isNotNull()).select(F.col("old.quarantine_id").alias("quarantine_id"))
     kept = items.select(*ITEM_COLUMNS).join(touched, "quarantine_id", "left_anti")
     return Merged(
@@ -255,6 +268,18 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
     )
 
 
+def _with_evidence(changed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """`last` with its evidence. The join takes the row's own key, so that the rows of a frequent identity
+    spread; of equal keys one row is kept."""
+    rows = candidates.select(match_key(candidates).alias("_key"), "request_id", F.struct("at", *EVIDENCE).alias("_row"))
+    picks = changed.withColumn("_last", F.col("last")).drop("last")
+    same = ((F.col("match_key") == F.col("_key")) & F.col("_last.at").eqNullSafe(F.col("_row.at"))
+            & F.col("_last.request_id").eqNullSafe(F.col("request_id"))
+            & F.col("_last.sha256").eqNullSafe(F.col("_row.sha256")))
+    found = picks.join(rows, same).withColumnRenamed("_row", "last").drop("_key", "request_id", "_last")
+    return found.dropDuplicates(["match_key"])
+
+
 def _merge_events(candidates: DataFrame, changed: DataFrame, batch_id: str) -> DataFrame:
     """One event per accepted candidate, but none for repeated authentication failures."""
     from memgov.operators.routing import ranked

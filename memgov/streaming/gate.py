@@ -85,7 +85,7 @@ class OrderedFoldProcessor(StatefulProcessor):
 
     Rows wait in state, in slices of time, until the watermark has passed the end of their slice; a timer there
     feeds them in (time, id) order. So one slice of a key is the most that is held at once. What the fold keeps
-    goes by a timer too, `hold_ms` of event time after the key's last row, once it cannot change a verdict.
+    goes by a timer as well, `hold_ms` of event time after the key's last row, once it cannot change a verdict.
     """
 
     def __init__(self, fold, slice_ms: int, hold_ms: int, columns: list[str]):
@@ -96,18 +96,21 @@ class OrderedFoldProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("fold", "value string")
-        self.parts = handle.getValueState("parts", "n long")
+        # Parts written so far, and the earliest slice with a timer: a key has one at a time.
+        self.known = handle.getValueState("known", "parts long, first long")
         self.waiting = handle.getMapState("waiting", "slot long, part long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        part = self.parts.get()[0] if self.parts.exists() else 0
+        part, first = self.known.get() if self.known.exists() else (0, None)
         for pdf in rows:
             for slot, some in pdf.groupby(pdf["ts_ms"] // self.slice_ms):
                 columns = [some[c].astype(object).where(some[c].notna(), None).tolist() for c in self.columns]
                 self.waiting.updateValue((int(slot), part), (json.dumps(list(zip(*columns, strict=True))),))
-                self.handle.registerTimer(self._end(int(slot)))
+                if first is None or slot < first:
+                    first = int(slot)
+                    self.handle.registerTimer(self._end(first))
                 part += 1
-        self.parts.update((part,))
+        self.known.update((part, first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -135,7 +138,11 @@ class OrderedFoldProcessor(StatefulProcessor):
             if last is not None:
                 self.handle.registerTimer(last + self.hold_ms)
         if len(due) == len(parts):
-            self.parts.clear()
+            self.known.clear()
+        elif due:
+            first = parts[len(due)][0]
+            self.handle.registerTimer(self._end(first))
+            self.known.update((self.known.get()[0], first))
 
     def _end(self, slot: int) -> int:
         return (slot + 1) * self.slice_ms - 1
@@ -250,7 +257,7 @@ def stream_quarantine(candidates: DataFrame, root: str, checkpoint: str, ttl_day
             save_items(items, f"{root}/items/version={batch_id + 1:012d}")
             return
         moment = F.lit(latest) if at is None else at
-        merged = merge_candidates(items, batch, moment, f"stream-{batch_id}", ttl_days)
+        merged = merge_candidates(items, batch, moment, f"stream-{batch_id}", ttl_days, f"{root}/actions")
         save_items(merged.items, f"{root}/items/version={batch_id + 1:012d}")
         merged.events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id:012d}")
         merged.conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch_id:012d}")

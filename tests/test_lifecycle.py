@@ -192,3 +192,27 @@ def test_legacy_files(spark, tmp_path):
     assert sorted(r["event_type"] for r in events.collect()) == ["postponed", "postponed", "quarantined"]
     again, _, _ = tables.import_legacy(good, opened, new, "i")
     assert tables.migration_summary(again).first()["skipped_existing"] == 1
+
+
+def test_merge_fetches_the_last_evidence(spark):
+    """Repeats at one moment, a repeated row and a third of the rows in one identity: the last row's evidence."""
+    fields = ("request_id string, at timestamp, kind string, reason string, writer_id string, source string, source_bank string,"
+              " source_memory_id string, source_content_sha256 string, dedupe_key string, sha256 string, encrypted_envelope string,"
+              " encrypted_bytes long, quarantine_id string")
+    keys = ["hot" if i % 3 == 0 else f"k{i % 13}" for i in range(90)]
+    rows = [(f"r{i:03d}", f"2024-01-0{1 + i // 60}", "retain_request", "suspicious_content", "w", "s", None, None, None, k,
+             f"h{i}", f"envelope {i}", i, f"q_{k}") for i, k in enumerate(keys)]
+    rows.append(rows[-1])
+    df = spark.createDataFrame([(r[0], None, *r[2:]) for r in rows], fields).drop("at").join(
+        spark.createDataFrame([(r[0], r[1]) for r in rows[:-1]], "request_id string, at string"), "request_id")
+    df = df.withColumn("at", F.col("at").cast("timestamp"))
+    items = spark.createDataFrame([], quarantine.ITEM_SCHEMA)
+    moment = F.lit("2024-02-01").cast("timestamp")
+    out = {r["dedupe_key"]: r for r in quarantine.merge_candidates(items, df, moment, "b").items.collect()}
+    last = {r[9]: r for r in sorted(rows, key=lambda r: (r[1], r[0]))}
+    assert {k: (r["encrypted_envelope"], r["encrypted_bytes"], r["sha256"]) for k, r in out.items()} == {
+        k: (r[11], r[12], r[10]) for k, r in last.items()}
+    assert {k: r["requarantine_count"] + 1 for k, r in out.items()} == {k: sum(r[9] == k for r in rows) for k in last}
+    plan = quarantine.classify(df, items, moment)._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate [" in line and "min_by" in line)
+    assert "encrypted_envelope" not in aggregate
