@@ -1,5 +1,7 @@
+import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,41 @@ def test_quiet_stretches_begin_new_chains(spark):
     df = spark.createDataFrame([(f"{i:04d}", "w", 1_000 * i) for i in range(200)], "request_id string, writer_id string, ts_ms long")
     _, runs = folds.fold_with_runs(df, folds.KeyedQuota(1, 500), "boolean", "writer_id", rows_per_block=20)
     assert len(runs) == 1
+
+
+def test_one_chain_runs_each_block_once(spark):
+    """A fold without key and reach; some rows have no time, and blocks begin and end with them."""
+    rows = [(f"{i:04d}", None if i % 5 == 0 else 100 * i, i % 7 > 2, "timeout") for i in range(300)]
+    df = spark.createDataFrame(rows, "request_id string, ts_ms long, ok boolean, error_kind string")
+    fold = folds.HealthTransitions(1_000)
+    verdicts, runs = folds.fold_with_runs(df, fold, "string", rows_per_block=40)
+    blocks = verdicts.count() // 40
+    assert sum(r.filter("last").count() for r in runs) == runs[-1].filter("last").first()["_block"] + 1 >= blocks
+    state, want = fold.start(), {}
+    for request_id, ts, ok, kind in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])):
+        want[request_id] = fold.feed(state, float("nan") if ts is None else ts, request_id, ok, kind)
+    assert {r["request_id"]: r["verdict"] for r in verdicts.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evidence_batches_equal_single_rows(seed):
+    rng = random.Random(seed)
+    limits = QuarantineLimits(item_bytes=60, pending_items=40, pending_per_writer=12, encrypted_bytes=1500,
+                              writes_per_writer=3, writes_global=7, families=2, requarantine_ops=4, window_ms=50)
+    rows, t = [], 0
+    for i in range(2_000):
+        t += rng.choice([0, 0, 0, 1, 30])
+        writer, old = f"w{rng.randrange(4)}", rng.random() < 0.1
+        budget = [("writes:writer:" + writer, 3), ("writes", 7)]
+        texts = [json.dumps([{"key": k, "cap": c} for k, c in some]) for some in (budget, [("requarantine", 4)])]
+        rows.append((t, f"{i:05d}", f"m{rng.randrange(200)}" if not old else f"old{i}", "retain_request", "suspicious_content", writer, 0,
+                     writer, rng.choice("abc"), rng.randrange(60), "pending" if old else None, old, 5 if old else None, writer if old else None, *texts))
+    fold = folds.EvidenceAdmission(limits, 3, 20)
+    one, many = fold.start(), fold.start()
+    want = [fold.feed(one, *r) for r in rows]
+    got = []
+    for at in range(0, len(rows), 170):
+        times, *rest = zip(*rows[at:at + 170], strict=True)
+        got += fold.feed_batch(many, list(times), [pa.array(list(c)) for c in rest])
+    assert got == want and None in want and len(set(want)) >= 3
+    assert one["items"] == many["items"] and one["pending"] == many["pending"] and one["bytes"] == many["bytes"]
