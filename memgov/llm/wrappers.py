@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ COPY = 0.8  # of the reference's text that a page has to repeat to count as its
 SURE = 3  # pages that have to agree before text inside the article counts as template
 OFTEN, AGREE = 0.5, 0.9  # share of a layout's pages that have a template node, and of those that have its text
 SHARE = 0.6  # of the varying text that a child has to hold to be followed towards the content
-BAND, CELLS = 64, 40_000  # children are matched within this many places of the diagonal, more while the table stays this small
+BAND, CELLS = 64, 40_000  # children are matched within this many places of the diagonal at first, more while the table stays this small
+NARROW = 64  # rows of a table below this length are filled one by one
 HELD = 64  # layouts whose trees and counts a worker holds at once
 
 # Fixed values of HTML.
@@ -170,9 +173,12 @@ def _between(a: Node, b: Node) -> tuple[list[Node], list[Node], int]:
     return a.kids[first:len(a.kids) - last], b.kids[first:len(b.kids) - last], same
 
 
-def _bands(n: int, m: int) -> list[tuple[int, int]]:
+def _width(n: int) -> int:
+    return max(BAND, CELLS // max(n, 1))
+
+
+def _bands(n: int, m: int, wide: int) -> list[tuple[int, int]]:
     """First and last column of each row of the table of n by m children."""
-    wide = max(BAND, CELLS // max(n, 1))
     return [(max(0, i * m // max(n, 1) - wide), min(m, i * m // max(n, 1) + wide)) for i in range(n + 1)]
 
 
@@ -188,8 +194,15 @@ def _plain(a: Node, b: Node) -> int | None:
 class _Table:
     """Nodes matched by the first i and the first j children. What lies left of the band is 0, what lies right its last value."""
 
-    def __init__(self, xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int]):
-        self.bands = _bands(len(xs), len(ys))
+    def __init__(self, xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int], wide: int):
+        self.sizes = [list(itertools.accumulate((k.size for k in kids), initial=0)) for kids in (xs, ys)]
+        self.bands = _bands(len(xs), len(ys), wide)
+        if max(hi - lo for lo, hi in self.bands) < NARROW:
+            self._fill(xs, ys, memo)
+        else:
+            self._fill_wide(xs, ys, memo)
+
+    def _fill(self, xs, ys, memo) -> None:
         self.rows = [[0] * (self.bands[0][1] + 1)]
         for i, x in enumerate(xs, 1):
             lo, hi = self.bands[i]
@@ -206,30 +219,77 @@ class _Table:
                 row.append(left)
             self.rows.append(row)
 
+    def _fill_wide(self, xs, ys, memo) -> None:
+        """The same, a row at a time."""
+        kinds = {y.shape: y for y in ys}
+        spots = {shape: k for k, shape in enumerate(kinds)}
+        codes, known = np.array([spots[y.shape] for y in ys]), {}
+        self.rows = [np.zeros(self.bands[0][1] + 1, np.int32)]
+        for i, x in enumerate(xs, 1):
+            if x.shape not in known:
+                plain = [(y, _plain(x, y)) for y in kinds.values()]
+                known[x.shape] = np.array([memo.get((x.shape, y.shape), 0) if own is None else own for y, own in plain], np.int32)
+            lo, hi = self.bands[i]
+            start, end = self.bands[i - 1]
+            # The row above from the column before the first one here; what lies right of it is its last value.
+            above = self.rows[-1]
+            above = np.concatenate([np.zeros(max(0, start - lo + 1), np.int32), above[max(0, lo - 1 - start):], np.repeat(above[-1:], max(0, hi - end))])
+            row = above[1:].copy()
+            first = max(lo, 1)
+            own = known[x.shape][codes[first - 1:hi]]
+            row[first - lo:] = np.maximum(row[first - lo:], np.where(own > 0, above[first - lo:-1] + own, 0))
+            self.rows.append(np.maximum.accumulate(row))
+
     def value(self, i: int, j: int) -> int:
         lo, hi = self.bands[i]
-        return 0 if j < lo else self.rows[i][min(j, hi) - lo]
+        return 0 if j < lo else int(self.rows[i][min(j, hi) - lo])
+
+    def is_largest(self) -> bool:
+        """Whether no match outside the band can be larger: before and after the first place outside it, no more
+        than the fewer nodes of the two sides can match."""
+        (before_x, before_y), m = self.sizes, len(self.sizes[1]) - 1
+        found = self.value(len(before_x) - 1, m)
+        last_lo = 0
+        for i, (lo, hi) in enumerate(self.bands):
+            for j in (*range(last_lo, lo), *range(hi + 1, min(hi + 2, m + 1))):
+                if found < min(before_x[i], before_y[j]) + min(before_x[-1] - before_x[i], before_y[-1] - before_y[j]):
+                    return False
+            last_lo = lo
+        return True
 
 
-def _open_pairs(xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
-    """Pairs of children in the band whose weight is not known yet, one of each pair of shapes; weights follow from shapes."""
-    found = {(x.shape, y.shape): (x, y) for x, (lo, hi) in zip(xs, _bands(len(xs), len(ys))[1:], strict=True) for y in ys[max(lo - 1, 0):hi]
-             if _plain(x, y) is None and (x.shape, y.shape) not in memo}
+def _open_pairs(xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int], wide: int) -> list[tuple[Node, Node]]:
+    """Pairs of children whose weight is not known yet, one of each pair of shapes, since weights follow from shapes:
+    all in the band, or of any shapes where those are fewer."""
+    bands, kinds = _bands(len(xs), len(ys), wide)[1:], [{k.shape: k for k in kids}.values() for kids in (xs, ys)]
+    if len(kinds[0]) * len(kinds[1]) <= sum(hi - lo for lo, hi in bands):
+        pairs = itertools.product(*kinds)
+    else:
+        pairs = ((x, y) for x, (lo, hi) in zip(xs, bands, strict=True) for y in ys[max(lo - 1, 0):hi])
+    found = {(x.shape, y.shape): (x, y) for x, y in pairs if _plain(x, y) is None and (x.shape, y.shape) not in memo}
     return list(found.values())
 
 
 def _weigh(pairs: list[tuple[Node, Node]], memo: dict[tuple[int, int], int]) -> None:
-    """Weights of these pairs and of all that they need, children first, at any depth."""
-    stack = list(pairs)
+    """Weights of these pairs and of all that they need, children first, at any depth.
+
+    A band grows until nothing outside it can be larger, at last to the whole table.
+    """
+    stack, widths = list(pairs), {}
     while stack:
         x, y = stack[-1]
         if (x.shape, y.shape) not in memo:
             xs, ys, same = _between(x, y)
-            first = _open_pairs(xs, ys, memo)
+            wide = widths.get((x.shape, y.shape), _width(len(xs)))
+            first = _open_pairs(xs, ys, memo, wide)
             if first:
                 stack.extend(first)
                 continue
-            memo[x.shape, y.shape] = 1 + same + (_Table(xs, ys, memo).value(len(xs), len(ys)) if xs and ys else 0)
+            table = _Table(xs, ys, memo, wide) if xs and ys else None
+            if table is not None and not table.is_largest():
+                widths[x.shape, y.shape] = 2 * wide
+                continue
+            memo[x.shape, y.shape] = 1 + same + (table.value(len(xs), len(ys)) if table is not None else 0)
         stack.pop()
 
 
@@ -249,8 +309,11 @@ def _match_kids(xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int]
     pairs += zip(xs[len(xs) - last:], ys[len(ys) - last:], strict=True)
     xs, ys = xs[first:len(xs) - last], ys[first:len(ys) - last]
     if xs and ys:
-        _weigh(_open_pairs(xs, ys, memo), memo)
-        table = _Table(xs, ys, memo)
+        wide, table = _width(len(xs)), None
+        while table is None or not table.is_largest():
+            _weigh(_open_pairs(xs, ys, memo, wide), memo)
+            table = _Table(xs, ys, memo, wide)
+            wide *= 2
         i, j = len(xs), len(ys)
         while i and j:
             here = table.value(i, j)

@@ -1,5 +1,7 @@
 """Top products against brute force; main text of hand-made pages."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -162,3 +164,20 @@ def test_tree_matching_equals_the_plain_recursion():
         wrappers.settle(a)
         wrappers.settle(b)
         assert wrappers.weight(a, b) == plain_weight(a, b) == len(wrappers.match(a, b))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_children_far_from_the_diagonal_are_matched(seed):
+    """Long lists that share a run far from the diagonal are matched as a whole table matches them."""
+    rnd = random.Random(seed)
+    shared = "".join("<li>" + "<b>x</b>" * rnd.randrange(1, 9) + "</li>" for _ in range(150))
+    own = "<li><i>y</i><u>z</u></li>"
+    one, other = wrappers.parse(f"<ol>{shared}{own * 350}</ol>"), wrappers.parse(f"<ol><li><s>q</s></li>" + "<li><q>w</q></li>" * 320 + f"{shared}</ol>")
+    xs, ys = one.kids[0].kids, other.kids[0].kids
+    own_of = {(x.shape, y.shape): wrappers.weight(x, y) for x in {x.shape: x for x in xs}.values() for y in {y.shape: y for y in ys}.values()}
+    row = [0] * (len(ys) + 1)
+    for x in xs:
+        above, row = row, [0]
+        for j, y in enumerate(ys, 1):
+            row.append(max(row[-1], above[j], above[j - 1] + own_of[x.shape, y.shape]))
+    assert wrappers.weight(one, other) == row[-1] + 2 == len(wrappers.match(one, other))
