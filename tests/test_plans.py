@@ -55,3 +55,12 @@ def test_request_bytes_of_long_and_unmeasured_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["items"], r["bytes"]) for r in catalog.QUERIES["request_bytes_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (150, 900 + len((t or "").encode())) for i, t in enumerate(texts)}
+
+
+def test_queries_bound_their_arrow_batches(spark, data):
+    """A worker holds one batch of bodies, so its rows are few."""
+    from memgov.plans import catalog
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalog.QUERIES["recalled_digests"](spark, data)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == catalog.BATCH_ROWS <= 1_000
