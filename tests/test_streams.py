@@ -1,9 +1,11 @@
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memgov.operators import logs, quota
+from memgov.operators import ordered_fold as folds
 from memgov.sources.registry import read_registry
 from memgov.sources.requests import stream_requests
 from memgov.streaming import gate
@@ -96,3 +98,79 @@ def test_quota_state_goes_after_its_window(spark, tmp_path):
         first = {r["key"]["writer_id"] for r in stored("fold", batchId=2).collect()}
         waiting = {r["key"]["writer_id"] for r in stored("waiting").collect()}
     assert (kept, waiting) == (set(), {"x", "end"}) and first <= {"w", "v"}
+
+
+def test_many_waiting_rows_of_a_key_lie_in_slices(spark, tmp_path):
+    """A key beyond the number held together and one below it: the verdicts of the batch, and nothing left waiting."""
+    rnd = random.Random(8)
+    rows = [(f"r{i:04d}", "hot" if i % 60 else "cold", 1_000_000 + rnd.randrange(30_000)) for i in range(2 * gate.TOGETHER + 600)]
+    rows.sort(key=lambda r: r[2] + random.Random(r[0]).randrange(4_000))
+    parts = [rows[:gate.TOGETHER + 300], rows[gate.TOGETHER + 300:]]
+    df = spark.createDataFrame(rows, "request_id string, writer_id string, ts_ms long")
+    want = {r["request_id"]: r["admitted"] for r in quota.admit_quota(df, 2, 0, 1_000).collect()}
+    seen = _disordered(spark, tmp_path, lambda s: gate.stream_quota(s, 2, 1_000, "5 seconds"), parts, 2_000_000)
+    assert seen[-1] == want and 0 < len(seen[0]) < len(rows)
+
+
+class _Value:
+    """A state variable in memory that counts what a state store would be asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self):
+        self.calls += 1
+        return self.held.get(0)
+
+    def update(self, value):
+        self.calls += 1
+        self.held[0] = value
+
+    def clear(self):
+        self.calls += 1
+        self.held.clear()
+
+    def keys(self):
+        self.calls += 1
+        return list(self.held)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    exists = containsKey = get
+
+
+def test_few_waiting_rows_take_few_calls_to_the_state_store():
+    """Forty rows of one key in as many slices: calls per key and micro-batch, not per slice."""
+    states = []
+
+    class Handle:
+        def getValueState(self, *args):
+            states.append(_Value())
+            return states[-1]
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 10_000
+
+    processor = gate.OrderedFoldProcessor(folds.KeyedQuota(2, 400), 100, 400, ["writer_id", "request_id", "ts_ms"])
+    processor.init(Handle())
+    rows = pd.DataFrame({"writer_id": "w", "request_id": [f"r{i:02d}" for i in range(40)], "ts_ms": [100 * i + 7 for i in range(40)]})
+    list(processor.handleInputRows(("w",), iter([rows]), None))
+    out = pd.concat(list(processor.handleExpiredTimer(("w",), Times(), None)))
+    assert out["request_id"].tolist() == rows["request_id"].tolist()
+    assert sum(s.calls for s in states) <= 8
