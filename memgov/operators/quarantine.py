@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,11 +246,12 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
     narrow table, are written once for all three outputs, to `actions_path` or a scratch folder; evidence is
     fetched for the last candidates only.
     """
-    groups = classify(candidates, items, at)
+    # The last candidate comes with its evidence later, so its digest and id need not be kept here.
+    groups = classify(candidates, items, at).drop("last")
     if actions_path is None:
         groups = cut_lineage(groups, "merge-actions")
     else:
-        groups.write.mode("overwrite").parquet(actions_path)
+        groups.write.mode("overwrite").option("compression", "zstd").parquet(actions_path)
         groups = items.sparkSession.read.schema(groups.schema).parquet(actions_path)
     refused = F.col("action").startswith("conflict")
     changed = groups.filter(~refused)
@@ -259,7 +260,7 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
     kept = items.select(*ITEM_COLUMNS).join(touched, "quarantine_id", "left_anti")
     return Merged(
         kept.unionByName(new_items.select(*ITEM_COLUMNS)),
-        _merge_events(candidates, changed, batch_id),
+        _merge_events(candidates, groups, batch_id),
         groups.filter(refused).select(
             "match_key", "old.quarantine_id", "n",
             F.when(F.col("action") == "conflict_request", "quarantine_request_in_review")
@@ -269,27 +270,44 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
 
 
 def _with_evidence(changed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """`last` with its evidence. The join takes the row's own key, so that the rows of a frequent identity
-    spread; of equal keys one row is kept."""
-    rows = candidates.select(match_key(candidates).alias("_key"), "request_id", F.struct("at", *EVIDENCE).alias("_row"))
-    picks = changed.withColumn("_last", F.col("last")).drop("last")
-    same = ((F.col("match_key") == F.col("_key")) & F.col("_last.at").eqNullSafe(F.col("_row.at"))
-            & F.col("_last.request_id").eqNullSafe(F.col("request_id"))
-            & F.col("_last.sha256").eqNullSafe(F.col("_row.sha256")))
-    found = picks.join(rows, same).withColumnRenamed("_row", "last").drop("_key", "request_id", "_last")
-    return found.dropDuplicates(["match_key"])
-
-
-def _merge_events(candidates: DataFrame, changed: DataFrame, batch_id: str) -> DataFrame:
-    """One event per accepted candidate, but none for repeated authentication failures."""
+    """`last` is the last candidate of each identity with its evidence; of equal ones one is kept. Candidates are
+    merged map-side, so that an identity costs one row per partition, however frequent."""
+    rows = candidates.select(
+        match_key(candidates).alias("match_key"), "request_id", F.struct("at", *EVIDENCE).alias("_row"))
+    order = F.struct("_row.at", "request_id", "_row.sha256")
+    last = rows.groupBy("match_key").agg(F.max_by("_row", order).alias("last"))
+    return changed.dropDuplicates(["match_key"]).join(last, "match_key")
+
+
+# Identities with up to this many candidates in a batch are numbered in one sort.
+ONE_SORT = 100_000
+
+
+def _numbered(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rank` of each candidate within its identity by (milliseconds, request id); without a time it has none.
+
+    One shuffle numbers the rows of all identities but the few very frequent ones, which go by time slices.
+    """
     from memgov.operators.routing import ranked
 
-    keyed = candidates.withColumn("match_key", match_key(candidates)).withColumn("at_ms", F.unix_millis("at"))
-    order = ranked(
-        keyed.select("match_key", "request_id", "at", "at_ms", "kind", "reason", "sha256",
-                     "source_content_sha256"),
-        "match_key", "at_ms", "request_id",
-    )
+    rows = candidates.select(match_key(candidates).alias("match_key"), "request_id", "at", "kind", "reason", "sha256",
+                             "source_content_sha256")
+    frequent = groups.filter(F.col("n") > ONE_SORT).select("match_key").distinct()
+    sliced = None
+    if not frequent.isEmpty():
+        at_ms = F.unix_millis("at")
+        sliced = ranked(rows.join(frequent, "match_key", "left_semi").withColumn("_ms", at_ms), "match_key", "_ms",
+                        "request_id").drop("_ms")
+        rows = rows.join(frequent, "match_key", "left_anti")
+    inside = Window.partitionBy("match_key").orderBy(F.unix_millis("at"), "request_id")
+    plain = rows.withColumn("rank", F.row_number().over(inside).cast("long")).filter("at is not null")
+    return plain if sliced is None else plain.unionByName(sliced)
+
+
+def _merge_events(candidates: DataFrame, groups: DataFrame, batch_id: str) -> DataFrame:
+    """One event per accepted candidate, but none for repeated authentication failures."""
+    changed = groups.filter(~F.col("action").startswith("conflict"))
+    order = _numbered(candidates, groups)
     info = changed.select(
         "match_key", "action",
         F.coalesce(F.col("old.quarantine_id"), F.col("first.quarantine_id")).alias("quarantine_id"),

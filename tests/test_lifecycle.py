@@ -216,3 +216,41 @@ def test_merge_fetches_the_last_evidence(spark):
     plan = quarantine.classify(df, items, moment)._jdf.queryExecution().optimizedPlan().toString()
     aggregate = next(line for line in plan.splitlines() if "Aggregate [" in line and "min_by" in line)
     assert "encrypted_envelope" not in aggregate
+
+
+def _repeats(spark):
+    """Candidates of a hot and some other identities in no order of time, the last of each with its own evidence."""
+    fields = ("request_id string, ms long, kind string, reason string, writer_id string, source string, source_bank string,"
+              " source_memory_id string, source_content_sha256 string, dedupe_key string, sha256 string, encrypted_envelope string,"
+              " encrypted_bytes long, quarantine_id string")
+    rows = []
+    for i in range(90):
+        k, ms = "hot" if i % 3 == 0 else f"k{i % 13}", None if i == 7 else (i * 37 % 90) * 1_000_000
+        rows.append((f"r{i:03d}", ms, "retain_request", "suspicious_content", "w", "s", None, None, None, k, f"h{i}",
+                     f"envelope {i}", i, f"q_{k}"))
+    return rows, spark.createDataFrame(rows, fields).withColumn("at", F.timestamp_millis("ms")).drop("ms")
+
+
+def test_events_of_frequent_identities_are_numbered_as_others(spark, monkeypatch):
+    rows, df = _repeats(spark)
+    items, moment = spark.createDataFrame([], quarantine.ITEM_SCHEMA), F.lit("2024-02-01").cast("timestamp")
+
+    def events():
+        return quarantine.merge_candidates(items, df, moment, "b").events
+
+    whole = events()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1, "one sort numbers the rows, with no second pass over counts"
+    want = sorted(whole.collect())
+    monkeypatch.setattr(quarantine, "ONE_SORT", 10)
+    assert sorted(events().collect()) == want and len(want) == 89
+
+
+def test_evidence_is_merged_before_it_moves(spark):
+    rows, df = _repeats(spark)
+    items, moment = spark.createDataFrame([], quarantine.ITEM_SCHEMA), F.lit("2024-02-01").cast("timestamp")
+    out = quarantine.merge_candidates(items, df, moment, "b").items
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("partial_max_by" in line for line in plan.splitlines())
+    last = {r[9]: r for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))}
+    assert {r["dedupe_key"]: r["encrypted_envelope"] for r in out.collect()} == {k: r[11] for k, r in last.items()}
