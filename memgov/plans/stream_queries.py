@@ -32,7 +32,7 @@ def _requests(spark, d):
 def _in_turns(frames, path: str, run) -> None:
     """Each frame written in as many files as it has partitions, the stream run to its end after each."""
     for frame in frames:
-        frame.write.mode("append").parquet(path)
+        frame.write.mode("append").option("compression", "zstd").parquet(path)
         run(frame.sparkSession.readStream.schema(frame.schema).parquet(path)).awaitTermination()
 
 

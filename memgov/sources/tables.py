@@ -26,7 +26,7 @@ def load_items(spark: SparkSession, path: str) -> DataFrame:
 
 def save_items(items: DataFrame, path: str) -> None:
     """A new version of the table; Parquet has no merge, so each batch writes its own folder."""
-    items.select(*ITEM_COLUMNS).write.mode("overwrite").parquet(path)
+    items.select(*ITEM_COLUMNS).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:
