@@ -51,14 +51,15 @@ def combinations(window: int, counts: np.ndarray) -> np.ndarray:
     lengths = np.flatnonzero(there)
     pairs = lengths[lengths * 2 <= window]
     pairs = pairs[there[window - pairs]]
-    rows.append(np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1))
+    rows.append(np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1).astype(np.int32))
     for a in lengths[lengths * 3 <= window]:
         b = np.arange(a, (window - a) // 2 + 1)
         b = b[there[b] & there[window - a - b]]
-        rows.append(np.stack([np.full_like(b, a), b, window - a - b], 1))
+        rows.append(np.stack([np.full_like(b, a), b, window - a - b], 1).astype(np.int32))
     width = max([3, *(window // lengths + 1)]) if len(lengths) else 3
     width = min(width, 16)
-    out = np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows])
+    out = np.zeros((sum(map(len, rows)), width), np.int32)
+    out[:, :3] = np.concatenate(rows)
     runs = []
     for a in lengths[(lengths * 3 < window)]:
         times = window // a
@@ -72,24 +73,34 @@ def combinations(window: int, counts: np.ndarray) -> np.ndarray:
 def solve_counts(combos: np.ndarray, counts: np.ndarray, steps: int = NNLS_STEPS) -> np.ndarray:
     """Non-negative x with the least squared distance between the lengths used and the histogram.
 
-    Accelerated projected gradient; the matrix is kept as the combinations themselves.
+    Accelerated projected gradient; the matrix is kept as the combinations themselves. Nearly all of them have
+    up to three lengths; those ahead of the first longer one are kept in three columns.
     """
     n = len(combos)
-    real = (combos > 0).astype(float)
+    longer = np.flatnonzero(combos[:, 3:].any(1))
+    few = int(longer[0]) if len(longer) else n
+    narrow, wide = [np.ascontiguousarray(c) for c in combos[:few, :3].T], combos[few:]
+    lengths = np.concatenate([combos[:few, :3].ravel(), wide.ravel()]).astype(np.intp)
 
     def used(x):
-        return np.bincount(combos.ravel(), (x[:, None] * real).ravel(), len(counts))
+        """How often each length is used; what is said of length 0, the padding, has no meaning."""
+        return np.bincount(lengths, np.concatenate([np.repeat(x[:few], 3), np.repeat(x[few:], combos.shape[1])]), len(counts))
+
+    def along(values):
+        """The sum over the lengths of each combination."""
+        values[0] = 0
+        return np.concatenate([values[narrow[0]] + values[narrow[1]] + values[narrow[2]], values[wide].sum(1)])
 
     # The largest eigenvalue of the normal matrix, by power iteration.
     v, top = np.ones(n), 1.0
     for _ in range(20):
-        w = (used(v)[combos] * real).sum(1)
+        w = along(used(v))
         top = float(np.linalg.norm(w)) or 1.0
         v = w / top
     x = y = np.zeros(n)
     t = 1.0
     for _ in range(steps):
-        slope = ((used(y) - counts)[combos] * real).sum(1)
+        slope = along(used(y) - counts)
         new = np.maximum(y - slope / top, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -52,6 +53,15 @@ def test_parts_give_the_ids_of_the_whole(path):
     assert [np.frombuffer(b, "<u4").tolist() for b in PartEncoder(path).encode_batch(rows)] == expected(path, rows)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_skip_normalising_and_cutting(path, monkeypatch):
+    rows = ["Zürich, the déjà-vu\nOnce more... ǆungla ƻ aƻ ŉx", "İstanbul ǅ Ab\x1cCd", "\n\nTwo\n Three\tfour\r\nFive \u00a0six\x85seven  eight"]
+    own, whole = PartEncoder(path), []
+    monkeypatch.setattr(own, "_whole", lambda part, ask=own._whole: whole.append(part) or ask(part))
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_batch(rows)] == expected(path, rows)
+    assert own.words and not {"Zürich", " the", "Once", " more", "zürich", "the", "once", "more"} & set(whole)
+
+
 def cases():
     return [(5, "one two", "en"), (3, None, "en"), (9, "", None), (None, "no id", "en"), (5, "twice", "en"), (7, "long " * 9000, "en")]
 
@@ -134,6 +144,16 @@ def test_least_squares_uses_up_what_fits():
     assert (used <= counts).all() and used[1000] >= 290
 
 
+def test_least_squares_holds_no_padded_matrix():
+    counts = np.minimum(np.arange(1024), 1)
+    combos = packing.combinations(1024, counts)
+    tracemalloc.start()
+    packing.solve_counts(combos, counts, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert combos.shape[1] == 16 and peak < 1.5 * 8 * combos.size
+
+
 def test_every_rank_gets_its_own_place():
     rng = np.random.default_rng(1)
     counts = np.zeros(2048, int)
