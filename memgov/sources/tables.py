@@ -10,6 +10,7 @@ from memgov.functions import identity
 from memgov.functions.steps import held
 from memgov.operators.quarantine import EVENT_SCHEMA, ITEM_COLUMNS, ITEM_SCHEMA
 from memgov.operators.review import legacy_kind, legacy_postpones
+from memgov.session import cut_lineage
 
 
 def upgrade_items(items: DataFrame) -> DataFrame:
@@ -71,18 +72,17 @@ def parse_legacy_queue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         value = F.variant_get("_v", f"$.{name}", "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-    reason = (
+    # Only a string counts as an id.
+    rows = held(rows, _id=text_of("quarantine_id"), _d=text_of("decision"), _t=text_of("timestamp"), _n=text_of("reason"))
+    rows = held(rows, reject_reason=(
         F.when(F.col("_v").isNull(), "invalid_json")
         .when(~F.schema_of_variant("_v").startswith("OBJECT"), "not_an_object")
-        .when(~F.coalesce(text_of("decision").isin(*DECISIONS), F.lit(False)), "invalid_decision")
-        .when(F.coalesce(text_of("timestamp"), F.lit("")) == "", "no_timestamp")
-        .when(F.coalesce(text_of("reason"), F.lit("")) == "", "no_reason")
-    )
-    # Only a string counts as an id.
-    rows = held(rows, reject_reason=reason, _id=text_of("quarantine_id"),
-                _r=F.when(reason.isNull(), F.from_json("value", LEGACY)))
+        .when(~F.coalesce(F.col("_d").isin(*DECISIONS), F.lit(False)), "invalid_decision")
+        .when(F.coalesce("_t", F.lit("")) == "", "no_timestamp")
+        .when(F.coalesce("_n", F.lit("")) == "", "no_reason")))
+    rows = held(rows, _r=F.when(F.col("reject_reason").isNull(), F.from_json("value", LEGACY)))
     good = rows.filter("reject_reason is null").select(
-        *[c for c in rows.columns if c not in ("value", "_v", "_r", "_id", "reject_reason")],
+        *[c for c in rows.columns if c not in ("value", "_v", "_r", "_id", "_d", "_t", "_n", "reject_reason")],
         "_r.timestamp", "_r.reason", "_r.decision", F.col("_id").alias("quarantine_id"),
         "_r.postpone_count", "_r.decided_at")
     bad = rows.filter("reject_reason is not null").select(
@@ -108,8 +108,10 @@ def import_legacy(queue: DataFrame, objects: DataFrame, items: DataFrame, batch_
     reason, writer_id, source, action, sha256, envelope. Running it twice imports nothing new.
 
     Records of one id are merged map-side: the earliest is imported, the others count as existing.
-    Outcomes carry the number of `records` they stand for.
+    Outcomes carry the number of `records` they stand for. The queue and what was judged are written once to
+    the scratch folder, since every result reads them.
     """
+    queue = cut_lineage(queue.select("quarantine_id", "timestamp", "decision", "postpone_count", "decided_at"), "legacy-queue")
     is_open = F.col("decision").isin("pending", "postponed")
     first = F.min_by(F.struct("timestamp", "decision", "postpone_count", "decided_at"),
                      F.struct("timestamp", "decision", "postpone_count"))
@@ -125,7 +127,7 @@ def import_legacy(queue: DataFrame, objects: DataFrame, items: DataFrame, batch_
         .when(F.col("_opened").isNull() | legacy_kind(F.col("action")).isNull(), "rejected")
         .otherwise("imported")
     )
-    judged = judged.withColumn("outcome", outcome)
+    judged = cut_lineage(judged.withColumn("outcome", outcome).drop("_stored", "_opened"), "legacy-judged")
     whole = F.col("outcome") != "imported"
     aside = queue.filter(~(is_open & F.col("quarantine_id").isNotNull())).select(
         "quarantine_id", F.when(is_open, "skipped_without_payload").otherwise("skipped_finalized").alias("outcome"),

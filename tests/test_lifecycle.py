@@ -194,6 +194,20 @@ def test_legacy_files(spark, tmp_path):
     assert tables.migration_summary(again).first()["skipped_existing"] == 1
 
 
+def test_legacy_queue_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"timestamp":"2024-01-01T00:00:00Z","reason":"unknown_writer","decision":"pending","quarantine_id":"q_1"}',)], "value string")
+    good, _ = tables.parse_legacy_queue(lines)
+    objects = spark.createDataFrame([("q_1", "2024-01-01T00:00:00Z", "unknown_writer", "w", None, "retain", "s", "{}")],
+                                    "quarantine_id string, created_at string, reason string, writer_id string, source string,"
+                                    " action string, sha256 string, envelope string")
+    none = spark.createDataFrame([], "quarantine_id string")
+
+    def parses(df):
+        return "parse" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    assert parses(good) and not any(map(parses, tables.import_legacy(good, objects, none, "i")))
+
+
 def test_merge_fetches_the_last_evidence(spark):
     """Repeats at one moment, a repeated row and a third of the rows in one identity: the last row's evidence."""
     fields = ("request_id string, at timestamp, kind string, reason string, writer_id string, source string, source_bank string,"
