@@ -221,3 +221,14 @@ def test_routes(spark):
     rows = paths.resolve_routes(df).orderBy("n").collect()
     assert [(r["method"], r["operation"], r["writer_id"], r["item_id"], r["admin_scope"]) for r in rows] == [
         (c[0], c[2], c[3], c[4], c[5]) for c in cases]
+
+
+def test_large_bodies_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
+    import memgov.plans.body_queries as bodies
+
+    rows = [(i if i % 7 else None, None if i == 9 else f'say "{i}"\nand é' if i % 2 else f"plain {i}", None if i == 5 else 10) for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = bodies.request_bytes_wide(spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    want = [(i, 150, 150 * len(f"ＡＢ{text}".encode()) if text is not None else 0) for i, text, n in rows if n]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
