@@ -323,6 +323,48 @@ def test_near_lines_are_found_whatever_their_bits(docs_of):
     assert len(near) > 30 and linked >= 0.95 * len(near)
 
 
+def test_short_lines_are_compared_as_they_meet(docs_of, monkeypatch):
+    """Unlike lines of the same few syllables share many keys; only pairs of longer lines go on to be verified with their texts."""
+    rng = random.Random(29)
+    parts = ["the", "er", "tion", "an", "st", "of"]
+    texts = {" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 5))) for _ in range(250)}
+    texts = sorted(normal(t) for t in texts if len(t) <= lines.SHORT)
+    texts += [texts[0] + "s", "x" + texts[1], " ".join(sentence(rng, 30).split())]
+    sent, verified = [], lines.verified
+
+    def counted(pairs, docs, unique):
+        sent.append(pairs.count())
+        return verified(pairs, docs, unique)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    found = lines.occurrences(docs := docs_of([(i, t, "en") for i, t in enumerate(texts)]))
+    kept = {r["at"]["doc_id"]: r["kept"]["doc_id"] for r in found.join(lines.line_groups(docs, found), ["h1", "h2"]).select("at", "kept").collect()}
+    assert sum(sent) == 0
+    assert kept[len(texts) - 3] == kept[0] and kept[len(texts) - 2] == kept[1]
+    parent = list(range(len(texts)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9):
+                parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in kept.items())
+
+
+def test_pair_keys_leave_out_what_only_one_line_has(spark):
+    rows = [(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [3, 9]), (4, [7]), (5, [7]), (6, [])]
+    frame = spark.createDataFrame(rows, "uid long, threes array<int>")
+    whole = frame.select("uid", F.explode(lines.piece_keys("threes", 1, 2, 6)).alias("key")).filter("key is not null")
+    again = {r["key"] for r in whole.groupBy("key").count().filter("count > 1").collect()}
+    made = {(r["uid"], r["key"]) for r in lines.pair_keys(frame, "threes", 1, 6).collect()}
+    assert {x for x in map(tuple, whole.collect()) if x[1] in again} == {x for x in made if x[1] in again} and len(again) == 2
+    assert made <= set(map(tuple, whole.collect())) and len(made) == 4
+
+
 def test_near_copies_by_five_words_go(docs_of):
     """Recall against brute force at a Jaccard similarity of 0.8 of five-word shingles."""
     rng = random.Random(31)
