@@ -107,3 +107,13 @@ def site_fingerprint(source: Column) -> Column:
 def event_id(batch_id: Column, item_id: Column, event_type: Column) -> Column:
     """Replaying a batch gives the same event ids."""
     return sha256_text(F.concat_ws("|", batch_id, item_id, event_type))
+
+
+def packed_hex(text: Column) -> Column:
+    """Text that is lower-case hex as bytes, which a shuffle cannot compress otherwise; other text as it is."""
+    exact = F.lower(F.hex(F.unhex(text))).eqNullSafe(text)
+    return F.struct(F.when(exact, F.unhex(text)).alias("bytes"), F.when(~exact, text).alias("text"))
+
+
+def unpacked_hex(packed: Column) -> Column:
+    return F.coalesce(F.lower(F.hex(packed["bytes"])), packed["text"])

@@ -31,6 +31,9 @@ EVENT_SCHEMA = T.StructType(
      T.StructField("details", T.StringType())]
 )
 ITEM_COLUMNS = ITEM_SCHEMA.fieldNames()
+# File and row of a stored item, for tables read with them: rows are then told apart without moving.
+PLACE = ("_item_file", "_item_row")
+BITMAP_ROWS = 32_768
 
 
 # --- predicates and views --------------------------------------------------------------------------
@@ -257,7 +260,7 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
     changed = groups.filter(~refused)
     new_items = _with_evidence(changed, candidates).select(_merged_item(ttl_days).alias("i")).select("i.*")
     touched = changed.filter(F.col("old").isNotNull()).select(F.col("old.quarantine_id").alias("quarantine_id"))
-    kept = items.select(*ITEM_COLUMNS).join(touched, "quarantine_id", "left_anti")
+    kept = _untouched(items, touched)
     return Merged(
         kept.unionByName(new_items.select(*ITEM_COLUMNS)),
         _merge_events(candidates, groups, batch_id),
@@ -269,6 +272,23 @@ def merge_candidates(items: DataFrame, candidates: DataFrame, at: Column, batch_
     )
 
 
+def _untouched(items: DataFrame, touched: DataFrame) -> DataFrame:
+    """The items whose id is not among `touched`.
+
+    Where the items' places are known only ids and places move; a bitmap of the touched rows of each file, one bit a
+    row, goes to every task and the rest of the rows stay where they are.
+    """
+    if not set(PLACE) <= set(items.columns):
+        return items.select(*ITEM_COLUMNS).join(touched, "quarantine_id", "left_anti")
+    file, row = PLACE
+    part, bit = F.floor(F.col(row) / BITMAP_ROWS).alias("_part"), F.pmod(row, F.lit(BITMAP_ROWS))
+    hit = items.select("quarantine_id", *PLACE).join(touched, "quarantine_id", "left_semi")
+    maps = hit.select(file, part, bit.alias("_bit")).groupBy(file, "_part").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    there = F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1")
+    placed = items.select("*", part, bit.alias("_bit")).join(F.broadcast(maps), [file, "_part"], "left")
+    return placed.filter(F.coalesce(there == 0, F.lit(True))).select(*ITEM_COLUMNS)
+
+
 def _with_evidence(changed: DataFrame, candidates: DataFrame) -> DataFrame:
     """`last` is the last candidate of each identity with its evidence; of equal ones one is kept. Candidates are
     merged map-side, so that an identity costs one row per partition, however frequent."""
@@ -279,6 +299,7 @@ def _with_evidence(changed: DataFrame, candidates: DataFrame) -> DataFrame:
     return changed.dropDuplicates(["match_key"]).join(last, "match_key")
 
 
+_DIGESTS = ("sha256", "source_content_sha256")
 # Identities with up to this many candidates in a batch are numbered in one sort.
 ONE_SORT = 100_000
 
@@ -286,12 +307,12 @@ ONE_SORT = 100_000
 def _numbered(candidates: DataFrame, groups: DataFrame) -> DataFrame:
     """`rank` of each candidate within its identity by (milliseconds, request id); without a time it has none.
 
-    One shuffle numbers the rows of all identities but the few very frequent ones, which go by time slices.
+    Digests move as bytes. One shuffle numbers the rows of all identities but the few very frequent ones, which go by time slices.
     """
     from memgov.operators.routing import ranked
 
-    rows = candidates.select(match_key(candidates).alias("match_key"), "request_id", "at", "kind", "reason", "sha256",
-                             "source_content_sha256")
+    rows = candidates.select(match_key(candidates).alias("match_key"), "request_id", "at", "kind", "reason",
+                             *[identity.packed_hex(F.col(c)).alias(c) for c in _DIGESTS])
     frequent = groups.filter(F.col("n") > ONE_SORT).select("match_key").distinct()
     sliced = None
     if not frequent.isEmpty():
@@ -301,7 +322,8 @@ def _numbered(candidates: DataFrame, groups: DataFrame) -> DataFrame:
         rows = rows.join(frequent, "match_key", "left_anti")
     inside = Window.partitionBy("match_key").orderBy(F.unix_millis("at"), "request_id")
     plain = rows.withColumn("rank", F.row_number().over(inside).cast("long")).filter("at is not null")
-    return plain if sliced is None else plain.unionByName(sliced)
+    numbered = plain if sliced is None else plain.unionByName(sliced)
+    return numbered.withColumns({c: identity.unpacked_hex(F.col(c)) for c in _DIGESTS})
 
 
 def _merge_events(candidates: DataFrame, groups: DataFrame, batch_id: str) -> DataFrame:

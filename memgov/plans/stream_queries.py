@@ -142,7 +142,8 @@ def _merged_stream(spark, d) -> str:
     save_items(inputs.items(spark, d), f"{root}/items/version={0:012d}")
     candidates = _evidence(spark, d)
     parts = [candidates.filter(F.year("at").between(a, b)) for a, b in ((0, 1996), (1997, 1998), (1999, 9999))]
-    _in_turns(parts, f"{root}/candidates", lambda rows: gate.stream_quarantine(rows, root, f"{root}/checkpoint", at=inputs.at()))
+    _in_turns(parts, f"{root}/candidates", lambda rows: gate.stream_quarantine(
+        rows, root, f"{root}/checkpoint", at=inputs.at(), keep_versions=False))
     return root
 
 

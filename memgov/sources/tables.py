@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memgov import fixed
 from memgov.functions import identity
 from memgov.functions.steps import held
-from memgov.operators.quarantine import EVENT_SCHEMA, ITEM_COLUMNS, ITEM_SCHEMA
+from memgov.operators.quarantine import EVENT_SCHEMA, ITEM_COLUMNS, ITEM_SCHEMA, PLACE
 from memgov.operators.review import legacy_kind, legacy_postpones
 from memgov.session import cut_lineage
 
@@ -18,11 +18,15 @@ def upgrade_items(items: DataFrame) -> DataFrame:
     empty = items.sparkSession.createDataFrame([], ITEM_SCHEMA)
     full = items.unionByName(empty, allowMissingColumns=True)
     return full.withColumn("requarantine_count", F.coalesce("requarantine_count", F.lit(0))).select(
-        *ITEM_COLUMNS)
+        *ITEM_COLUMNS, *[c for c in PLACE if c in items.columns])
 
 
-def load_items(spark: SparkSession, path: str) -> DataFrame:
-    return upgrade_items(spark.read.option("mergeSchema", "true").parquet(path))
+def load_items(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """The stored items; with `placed` also where each row lies (see `quarantine.PLACE`)."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    if placed:
+        rows = rows.select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    return upgrade_items(rows)
 
 
 def save_items(items: DataFrame, path: str) -> None:

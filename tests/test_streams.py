@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import random
 
@@ -174,3 +175,51 @@ def test_few_waiting_rows_take_few_calls_to_the_state_store():
     out = pd.concat(list(processor.handleExpiredTimer(("w",), Times(), None)))
     assert out["request_id"].tolist() == rows["request_id"].tolist()
     assert sum(s.calls for s in states) <= 8
+
+
+def test_merge_stream_drops_superseded_versions(spark, tmp_path):
+    from memgov.operators.quarantine import EVIDENCE, ITEM_SCHEMA
+    from memgov.sources.tables import save_items
+
+    root, incoming = str(tmp_path / "root"), str(tmp_path / "in")
+    save_items(spark.createDataFrame([], ITEM_SCHEMA), f"{root}/items/version={0:012d}")
+    types = dict(spark.createDataFrame([], ITEM_SCHEMA).dtypes)
+    schema = "request_id string, at timestamp, quarantine_id string, " + ", ".join(f"{c} {types[c]}" for c in EVIDENCE)
+    for turn in range(3):
+        rows = [(f"r{turn}{i}", dt.datetime(2024, 1, 1 + turn), f"q{i}", "security_event", "denied_endpoint", None, "application",
+                 None, None, None, None, f"Digest {turn}", "{}", 1) for i in range(turn, turn + 2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(incoming)
+        gate.stream_quarantine(spark.readStream.schema(schema).parquet(incoming), root, f"{root}/checkpoint",
+                               keep_versions=False).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "root/items").glob("version=*")) == [f"version={n:012d}" for n in (2, 3)]
+    final = spark.read.parquet(f"{root}/items/version={3:012d}").collect()
+    assert sorted((r["quarantine_id"], r["requarantine_count"], r["sha256"]) for r in final) == [
+        ("q0", 0, "Digest 0"), ("q1", 1, "Digest 1"), ("q2", 1, "Digest 2"), ("q3", 0, "Digest 2")]
+    details = [r["details"] for r in spark.read.parquet(f"{root}/events").collect()]
+    assert sorted(json.loads(d)["sha256"] for d in details) == sorted(f"Digest {t}" for t in (0, 0, 1, 1, 2, 2))
+
+
+def test_untouched_items_stay_in_place(spark, tmp_path):
+    from memgov.operators.quarantine import _untouched
+    from memgov.sources.tables import load_items
+
+    path = str(tmp_path / "items")
+    spark.createDataFrame([(None if i % 50 == 0 else f"q{i // 2}", f"k{i}") for i in range(300)], "quarantine_id string, dedupe_key string") \
+        .repartition(3).write.parquet(path)
+    touched = spark.createDataFrame([(f"q{i}",) for i in range(0, 150, 3)] + [(None,), ("other",)], "quarantine_id string")
+    placed = load_items(spark, path, placed=True)
+    out = _untouched(placed, touched)
+    plain = _untouched(load_items(spark, path), touched)
+    assert sorted(r["dedupe_key"] for r in out.collect()) == sorted(r["dedupe_key"] for r in plain.collect())
+    assert 150 < out.count() < 300
+    assert _untouched(placed, touched.limit(0)).count() == 300
+
+
+def test_digests_survive_packing(spark):
+    from memgov.functions.identity import packed_hex, unpacked_hex
+
+    texts = ["ab" * 32, "AB" * 32, "abc", "0abc", "", None, "not hex", "aB"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    packed = df.withColumn("p", packed_hex(F.col("t")))
+    assert [r[0] for r in packed.select(unpacked_hex(F.col("p"))).collect()] == texts
+    assert packed.filter("t = '" + "ab" * 32 + "'").select(F.octet_length("p.bytes")).first()[0] == 32
