@@ -281,3 +281,39 @@ def test_evidence_batches_equal_single_rows(seed):
         got += fold.feed_batch(many, list(times), [pa.array(list(c)) for c in rest])
     assert got == want and None in want and len(set(want)) >= 3
     assert one["items"] == many["items"] and one["pending"] == many["pending"] and one["bytes"] == many["bytes"]
+
+
+def test_a_batch_of_evidence_is_not_walked_row_by_row(monkeypatch):
+    """Only rows whose budgets have a place cost a step each."""
+    steps = []
+    step = folds._Block._next
+    monkeypatch.setattr(folds._Block, "_next", lambda self, *row: (steps.append(row), step(self, *row)))
+    limits = QuarantineLimits(writes_per_writer=2, writes_global=3, requarantine_ops=1, window_ms=100)
+    block = folds._Block(folds.EvidenceAdmission(limits, 0, 0), 0, None)
+    n = 5_000
+    budgets = ['[{"key":"w","cap":2}]', '[{"key":"again","cap":1}]']
+    row = {"match_key": "m", "kind": "security_event", "reason": "r", "scope": "s", "scope_pending": 0, "family_scope": None, "family": None,
+           "item_bytes": 1, "old_status": None, "old_live": None, "old_bytes": None, "old_scope": None}
+    columns = {"ts_ms": pa.array([0] * (n - 1) + [None], pa.int64()), "id": pa.array([f"{i:05d}" for i in range(n)])}
+    strings = {"family_scope", "family", "old_status", "old_scope"}
+    for name, value in row.items():
+        values = [f"m{i % 9}" for i in range(n)] if name == "match_key" else [value] * n
+        columns[name] = pa.array(values, pa.string() if name in strings else pa.bool_() if name == "old_live" else pa.int64() if value is None else None)
+    columns |= {"fresh_budgets": pa.array([budgets[0]] * n), "known_budgets": pa.array([budgets[1]] * n)}
+    early = {name: c.slice(0, n - 1) for name, c in columns.items()}
+    verdicts = block.feed(["k"] * (n - 1), list(early.values()))
+    # Two new items, and the first of them once more.
+    assert [i for i, v in enumerate(verdicts) if v is None] == [0, 1, 9]
+    assert len(steps) == 1 and block.at == 0
+    assert block.feed(["k"], [c.slice(n - 1) for c in columns.values()]) == ["quarantine_rate_limited"]
+    assert block.at == 0
+
+
+def test_columns_become_lists_as_to_pylist_makes_them():
+    import datetime
+
+    arrays = [pa.array(["a", None, ""]), pa.array([True, None, False]), pa.array([1, 2, 3]), pa.array([1, None, 3]), pa.array([1.5, 2.0]),
+              pa.array([datetime.datetime(2024, 1, 1), None]), pa.array([], pa.string()), pa.array(["a", "b", None, "c"]).slice(1)]
+    for array in arrays:
+        got = folds._listed(array)
+        assert got == array.to_pylist() and [type(v) for v in got] == [type(v) for v in array.to_pylist()]
